@@ -5,10 +5,12 @@ have a Jaccard similarity of at least ``threshold`` are found exactly:
 
 * *Order.*  N-grams are ordered from rare to common.  Document frequencies come from all documents,
   added up in a table of fixed size; any order gives right results, a better one shorter lists.
-* *Index lists.*  Two sets that are similar enough share an n-gram within their prefixes.  The
-  lists of the prefix index are cut into blocks by size; within a block, entries whose position
-  leaves too few n-grams to reach the overlap that even their best partner would need are skipped.
-  What remains of a block is recorded as a star around its least set, so a list of n entries costs n.
+* *Index lists.*  Two sets that are similar enough share four n-grams (or, of small sets, all that
+  they need) within prefixes that are as much longer.  Short lists of the prefix index count the
+  n-grams that each pair shares.  Long lists are cut into blocks by size; within a block, entries
+  whose position leaves too few n-grams to reach the overlap that even their best partner would
+  need are skipped.  What remains of a block is recorded as a star around its least set, so a long
+  list of n entries costs n.
 * *Answers.*  The sets of a star are compared through their centre x.  A set's overlaps follow
   incrementally from those of x: |y & z| = |x| - |x-y| - |x-z| + |(x-y) & (x-z)| + |(y-x) & (z-x)|,
   so that highly similar sets cost as much as their differences.  A star whose members all belong
@@ -31,17 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import Packer, partitions, unpack, written
+from .runtime import Packer, part_of, partitions, unpack, written
 from .textvec import mix, words
 
-NGRAM = 2
-THRESHOLD = 0.6
+NGRAM = 3
+THRESHOLD = 0.5
 
 _COUNTERS = 1 << 18
 _BLOCKS = 16
 _MASK = np.uint64((1 << 56) - 1)
 _POSTING = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "<u4"), ("pos", "<u4")])
-_DIRECT = 16
+_DIRECT = 256
+_SHARED = 4
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -117,9 +120,10 @@ def least_overlap(t: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.ceil(t / (1 + t) * (a + b) - 1e-9)
 
 
-def stars(key: np.ndarray, member: np.ndarray, n: np.ndarray, pos: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (centre, member) such that any two entries of one list that can reach t share a
-    centre, which is its own member."""
+def stars(key: np.ndarray, member: np.ndarray, n: np.ndarray, pos: np.ndarray, t: float, shared: int = 1) -> tuple[np.ndarray, ...]:
+    """Edges (centre, member, seen, need, star) such that of two sets that reach t either a long list
+    in which they meet gives them a common centre, by edges with star 1, or their own edge, with the
+    lesser as its centre, has been seen as often as need says.  A centre is a member of its star."""
     order = np.lexsort((member, n, key))
     key, member, n, pos = key[order], member[order], n[order].astype(np.int64), pos[order].astype(np.int64)
     fresh = np.ones(len(key), bool)
@@ -127,7 +131,8 @@ def stars(key: np.ndarray, member: np.ndarray, n: np.ndarray, pos: np.ndarray, t
     key, member, n, pos = key[fresh], member[fresh], n[fresh], pos[fresh]
     cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
     length = np.diff(cuts)
-    hubs, members = [], []
+    hubs, members, needs, kinds = [], [], [], []
+    slack = shared - 1
     # short lists: pair by pair
     of = np.repeat(length, length)
     small = np.flatnonzero((of > 1) & (of <= _DIRECT))
@@ -139,10 +144,13 @@ def stars(key: np.ndarray, member: np.ndarray, n: np.ndarray, pos: np.ndarray, t
         if not len(i):
             break
         j = i + d
-        ok = (z[i] >= t * z[j] - 1e-9) & (np.minimum(z[i] - p[i], z[j] - p[j]) >= least_overlap(t, z[i], z[j]))
+        need = least_overlap(t, z[i], z[j])
+        ok = (z[i] >= t * z[j] - 1e-9) & (np.minimum(z[i] - p[i], z[j] - p[j]) >= need - slack)
         i, j = i[ok], j[ok]
         hubs.append(np.minimum(m[i], m[j]))
         members.append(np.maximum(m[i], m[j]))
+        needs.append(np.minimum(need[ok], shared).astype(np.int64))
+        kinds.append(np.zeros(len(i), np.int64))
     # long lists: blocks of two neighbouring size classes
     for c in np.flatnonzero(length > _DIRECT):
         s = slice(cuts[c], cuts[c + 1])
@@ -152,45 +160,54 @@ def stars(key: np.ndarray, member: np.ndarray, n: np.ndarray, pos: np.ndarray, t
             i = np.flatnonzero((band == b) | (band == b + 1))
             if b - 1 in band and not (band[i] == b + 1).any():
                 continue  # all of it lies in the block before
-            i = i[z[i] - p[i] >= least_overlap(t, z[i], np.maximum(z[i].min(), np.ceil(t * z[i] - 1e-9)))]
+            i = i[z[i] - p[i] >= least_overlap(t, z[i], np.maximum(z[i].min(), np.ceil(t * z[i] - 1e-9))) - slack]
             if len(i) > 1:
                 hubs.append(np.full(len(i) - 1, m[i].min()))
                 members.append(np.delete(m[i], m[i].argmin()))
-    hub = np.concatenate(hubs) if hubs else np.zeros(0, np.int64)
-    mem = np.concatenate(members) if members else np.zeros(0, np.int64)
-    return distinct_pairs(hub, mem)
-
-
-def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    keep = np.ones(len(a), bool)
-    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[keep], b[keep]
-
-
-def star_table(packed: DataFrame, dtype: np.dtype, t: float) -> DataFrame:
-    """Distinct (hub, member) of all index lists that were packed as rows (part, blob)."""
+                needs.append(np.ones(len(i) - 1, np.int64))
+                kinds.append(np.ones(len(i) - 1, np.int64))
+    if not hubs:
+        return (np.zeros(0, np.int64),) * 5
+    hub, mem, need, star = (np.concatenate(x) for x in (hubs, members, needs, kinds))
+    order = np.lexsort((mem, hub))
+    hub, mem, need, star = hub[order], mem[order], need[order], star[order]
+    if not len(hub):
+        return hub, mem, need, need, star
+    first = np.flatnonzero(np.r_[True, (hub[1:] != hub[:-1]) | (mem[1:] != mem[:-1])])
+    return hub[first], mem[first], np.diff(np.r_[first, len(hub)]), np.minimum.reduceat(need, first), np.maximum.reduceat(star, first)
+
+
+def star_table(packed: DataFrame, dtype: np.dtype, t: float, shared: int = 1) -> DataFrame:
+    """Distinct (hub, member, star) of all index lists that were packed as rows (part, blob)."""
 
     def lists(group: pa.Table) -> pa.Table:
         rows = unpack(group.column("blob"), dtype)
-        hub, member = stars(rows["key"], rows["set"], rows["n"], rows["pos"], t)
-        return pa.table({"hub": hub, "member": member})
+        found = stars(rows["key"], rows["set"], rows["n"], rows["pos"], t, shared)
+        return pa.table(dict(zip(("hub", "member", "seen", "need", "star"), found)))
 
-    return written(packed.groupBy("part").applyInArrow(lists, "hub bigint, member bigint").distinct(), "stars")
+    edges = packed.groupBy("part").applyInArrow(lists, "hub bigint, member bigint, seen bigint, need bigint, star bigint")
+    edges = edges.groupBy("hub", "member").agg(F.sum("seen").alias("seen"), F.min("need").alias("need"), F.max("star").alias("star"))
+    return written(edges.where("seen >= need").select("hub", "member", "star"), "stars")
 
 
 def needed_stars(edges: DataFrame) -> DataFrame:
-    """(member, hubs) without the stars whose members all belong to the star of the centre's own
-    least centre."""
-    first = edges.groupBy(F.col("member").alias("h")).agg(F.min("hub").alias("p"))
-    there = edges.select(F.col("hub").alias("p"), F.col("member").alias("m"))
-    rows = edges.join(first, edges.hub == first.h).select("hub", "member", "p")
-    # the centre's centre is itself a member of its star
-    seen = rows.where("member <> p").join(there, (rows.p == there.p) & (rows.member == there.m), "left").groupBy("hub").agg(F.count(F.when(F.col("m").isNull(), 1)).alias("missing"))
-    skip = seen.where("missing = 0").select("hub")
-    kept = edges.join(skip, "hub", "left_anti")
-    every = kept.select("hub", "member").union(kept.select("hub", F.col("hub").alias("member")).distinct())
+    """(member, hubs) of as few stars as hold all pairs that edges stand for.
+
+    The stars of roots, which are no other centre's member, stay.  The edge of a pair goes if the
+    least centre of either end is a root with both in its star; the star of a long list goes if
+    the root that is its centre's least centre has all its members."""
+    inner = edges.select(F.col("member").alias("hub")).distinct()
+    roots = edges.join(inner, "hub", "left_anti").select("hub", "member")
+    rest = edges.join(inner, "hub", "left_semi")
+    least = edges.groupBy("member").agg(F.min("hub").alias("least"))
+    rest = rest.join(least.select(F.col("member").alias("hub"), F.col("least").alias("p")), "hub").join(least.withColumnRenamed("least", "q"), "member")
+    one = roots.select(F.col("hub").alias("p"), "member", F.lit(True).alias("one"))
+    two = roots.select(F.col("hub").alias("q"), F.col("member").alias("hub"), F.lit(True).alias("two"))
+    rest = rest.join(one, ["p", "member"], "left").join(two, ["q", "hub"], "left").select("hub", "member", "star", "one", "two")
+    bare = rest.where("star = 1").groupBy("hub").agg(F.count(F.when(F.col("one").isNull(), 1)).alias("missing")).where("missing > 0").select("hub", F.lit(True).alias("bare"))
+    rest = rest.join(bare, "hub", "left").where("(star = 1 and bare) or (star = 0 and one is null and two is null)").select("hub", "member")
+    kept = roots.union(rest)
+    every = kept.union(kept.select("hub", F.col("hub").alias("member"))).distinct()
     return every.groupBy("member").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))
 
 
@@ -199,7 +216,7 @@ def verify(hub: int, ids: np.ndarray, sets: list[np.ndarray], hubs: list[np.ndar
     order = np.argsort(ids)
     ids, sets, hubs = ids[order], [sets[i] for i in order], [hubs[i] for i in order]
     n = np.array([len(s) for s in sets], np.int64)
-    x = sets[int(np.searchsorted(ids, hub))]
+    x = sets[min(int(np.searchsorted(ids, hub)), len(ids) - 1)]  # any centre is right, the hub is the cheapest
     minus, plus = [], []
     for s in sets:
         at = np.searchsorted(x, s)
@@ -237,7 +254,6 @@ def verify(hub: int, ids: np.ndarray, sets: list[np.ndarray], hubs: list[np.ndar
         m[o[k], c[k] - c0] = 1
         return m
 
-    size_order = np.sort(n)
     for i0 in range(0, len(ids), step):
         i1 = min(i0 + step, len(ids))
         for j0 in range(i0, len(ids), step):
@@ -258,18 +274,41 @@ def verify(hub: int, ids: np.ndarray, sets: list[np.ndarray], hubs: list[np.ndar
                 good &= np.triu(np.ones_like(good), 1)
             i, j = np.nonzero(good)
             out.append((ids[i + i0], ids[j + j0], score[i, j]))
-    del size_order
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def verified_pairs(sets: DataFrame, stars_of: DataFrame, t: float, spanning: bool = False) -> DataFrame:
-    """(a, b, jaccard) of all pairs within stars that reach t; sets: (member, elements), elements
-    as sorted packed 64-bit values.  With spanning, only enough pairs to connect each star's
-    similar members."""
-    spark = sets.sparkSession
-    parts = 4 * partitions(spark)
+def verified_pairs(texts: DataFrame, homes: DataFrame, stars_of: DataFrame, elements, t: float, spanning: bool = False) -> DataFrame:
+    """(a, b, jaccard) of all pairs within stars that reach t.
+
+    texts: (doc_id, text); homes: (member, doc_id), a document for every member; stars_of: (member,
+    hubs); elements(column, members) gives (row, member, its sorted elements) for what the texts of a
+    column hold, of those members at least.
+    With spanning, only enough pairs to connect each star's similar members are given."""
+    parts = 4 * partitions(texts.sparkSession)
+    wanted = homes.join(stars_of, "member").groupBy("doc_id").agg(F.collect_list(F.struct("member", "hubs")).alias("wanted"))
+
+    def spread(batches):
+        for batch in batches:
+            lists = batch.column("wanted")
+            offsets, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+            owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
+            known: dict[tuple[int, int], pa.Array] = dict(zip(zip(owner.tolist(), flat.field("member").to_pylist()), flat.field("hubs")))
+            out: tuple[list, ...] = ([], [], [], [])
+            for row, member, x in elements(batch.column("text"), flat.field("member").to_numpy()):
+                hubs = known.pop((row, member), None)
+                if hubs is not None:
+                    hubs = hubs.values.to_pylist()
+                    blob = x.tobytes()
+                    for h in hubs:
+                        for column, value in zip(out, (h, member, blob, hubs)):
+                            column.append(value)
+            hub = np.array(out[0], np.int64)
+            yield pa.record_batch(
+                [pa.array(part_of(hub, parts)), pa.array(hub), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))],
+                ["part", "hub", "member", "elements", "hubs"],
+            )
 
     def stars_in(group: pa.Table) -> pa.Table:
         hub = group.column("hub").to_numpy()
@@ -279,19 +318,21 @@ def verified_pairs(sets: DataFrame, stars_of: DataFrame, t: float, spanning: boo
         fresh[1:] = (hub[order][1:] != hub[order][:-1]) | (member[order][1:] != member[order][:-1])
         order = order[fresh]
         cuts = np.flatnonzero(np.r_[True, hub[order][1:] != hub[order][:-1], True])
-        elements, hubs = group.column("elements").combine_chunks(), group.column("hubs").combine_chunks()
+        blobs, hubs = group.column("elements").combine_chunks(), group.column("hubs").combine_chunks()
         out = []
         for a, b in zip(cuts[:-1], cuts[1:]):
             at = order[a:b]
+            if b - a < 2:
+                continue
             found = verify(
-                int(hub[at[0]]), member[at], [np.frombuffer(elements[i].as_buffer(), np.uint64) for i in at], [hubs[i].values.to_numpy() for i in at], t
+                int(hub[at[0]]), member[at], [np.frombuffer(blobs[i].as_buffer(), np.uint64) for i in at], [hubs[i].values.to_numpy() for i in at], t
             )
             out.append(_spanning(*found) if spanning else found)
-        a, b, s = (np.concatenate(x) for x in zip(*out))
+        a, b, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"a": a, "b": b, "jaccard": s})
 
-    rows = stars_of.join(sets, "member").select("member", "elements", "hubs", F.explode("hubs").alias("hub"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("hub"), F.lit(parts)).cast("int"))
+    schema = "part int, hub bigint, member bigint, elements binary, hubs array<bigint>"
+    rows = texts.join(wanted, "doc_id").select("text", "wanted").mapInArrow(spread, schema)
     return rows.groupBy("part").applyInArrow(stars_in, "a bigint, b bigint, jaccard double")
 
 
@@ -328,22 +369,20 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
             for _, x in _sets(batch.column("text"), n):
                 size, sid = len(x), _set_id(x)
                 x = np.sort(x | ranks.value[_counter(x)])
-                first = size - int(np.ceil(threshold * size - 1e-9)) + 1
-                yield from pack.add(x[:first], set=sid, n=size, pos=np.arange(first))
+                first = min(size, size - int(np.ceil(threshold * size - 1e-9)) + _SHARED)
+                # list keys keep 48 bits of the hash; lists that fall together only add candidates
+                yield from pack.add(x[:first] & ~np.uint64(0xFF), set=sid, n=size, pos=np.arange(first))
         yield from pack.flush()
 
-    edges = star_table(_usable(docs).select("text").mapInArrow(prefixes, "part int, blob binary"), _POSTING, threshold)
+    edges = star_table(_usable(docs).select("text").mapInArrow(prefixes, "part int, blob binary"), _POSTING, threshold, _SHARED)
     hubs = needed_stars(edges)
 
-    def elements(batches):
-        for batch in batches:
-            found = [(_set_id(x), x.tobytes()) for _, x in _sets(batch.column("text"), n)]
-            yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["member", "elements"])
+    def elements(column, _):
+        for row, x in _sets(column, n):
+            yield row, _set_id(x), x
 
-    ids = edges.select(F.col("hub").alias("set_id")).union(edges.select("member")).distinct()
-    some = members.join(ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = _usable(docs).join(some, "doc_id", "left_semi").select("text").mapInArrow(elements, "member bigint, elements binary")
-    return members, verified_pairs(sets, hubs, threshold, spanning)
+    homes = members.groupBy(F.col("set_id").alias("member")).agg(F.min("doc_id").alias("doc_id"))
+    return members, verified_pairs(_usable(docs), homes, needed_stars(edges), elements, threshold, spanning)
 
 
 def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
