@@ -4,24 +4,84 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard
+from . import decontaminate, html, jaccard, langid, licenses, packing, substring, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated(_table(spark, sf_dir, "documents"))
+
+
+def toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxic(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(_table(spark, sf_dir, "pages"))
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+     s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_inner_product(a.e, b.e), 9) AS s
+           FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+     r AS (SELECT query_id, vec_id, round(s, 6) AS score,
+                  CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": warc_archive,
+        "op2_decontamination": benchmark_decontamination,
+        "op3_licenses": license_scan,
+        "op4_packing": best_fit_packing,
+        "op5_substring_dedup": substring_dedup,
+        "op6_toxicity": toxicity_grammar,
         "op7_ngram_jaccard": ngram_jaccard,
+        "op8_language_id": language_id,
+        "op9_topk": exact_top_k,
+        "op10_html": html_extraction,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {"op1_warc": warc.ROUND_TRIP_SQL, "op9_topk": TOP_K_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql is not None}
