@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .registry import QUERIES, SQL
 from . import building, correction, functions, tokens  # noqa: F401  (they register their queries)
 
-FLAGSHIP = "correct_documents"
+FLAGSHIP = "restore_accents"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
