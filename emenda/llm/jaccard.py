@@ -45,6 +45,8 @@ _MASK = np.uint64((1 << 56) - 1)
 _POSTING = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 _DIRECT = 256
 _SHARED = 4
+#: Stars of so many members are compared set by set.
+_FEW = 8
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -120,7 +122,7 @@ def least_overlap(t: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.ceil(t / (1 + t) * (a + b) - 1e-9)
 
 
-def stars(key: np.ndarray, member: np.ndarray, n: np.ndarray, pos: np.ndarray, t: float, shared: int = 1) -> tuple[np.ndarray, ...]:
+def stars(key: np.ndarray, member: np.ndarray, n: np.ndarray, pos: np.ndarray, t: float, shared: int = 1, direct: int = _DIRECT) -> tuple[np.ndarray, ...]:
     """Edges (centre, member, seen, need, star) such that of two sets that reach t either a long list
     in which they meet gives them a common centre, by edges with star 1, or their own edge, with the
     lesser as its centre, has been seen as often as need says.  A centre is a member of its star."""
@@ -135,9 +137,9 @@ def stars(key: np.ndarray, member: np.ndarray, n: np.ndarray, pos: np.ndarray, t
     slack = shared - 1
     # short lists: pair by pair
     of = np.repeat(length, length)
-    small = np.flatnonzero((of > 1) & (of <= _DIRECT))
+    small = np.flatnonzero((of > 1) & (of <= direct))
     k, m, z, p = key[small], member[small], n[small], pos[small]
-    for d in range(1, _DIRECT):
+    for d in range(1, direct):
         if len(k) <= d:
             break
         i = np.flatnonzero(k[d:] == k[:-d])
@@ -152,7 +154,7 @@ def stars(key: np.ndarray, member: np.ndarray, n: np.ndarray, pos: np.ndarray, t
         needs.append(np.minimum(need[ok], shared).astype(np.int64))
         kinds.append(np.zeros(len(i), np.int64))
     # long lists: blocks of two neighbouring size classes
-    for c in np.flatnonzero(length > _DIRECT):
+    for c in np.flatnonzero(length > direct):
         s = slice(cuts[c], cuts[c + 1])
         m, z, p = member[s], n[s], pos[s]
         band = np.floor(np.log(z) / -np.log(t) + 1e-9).astype(np.int64) if t < 1 else z
@@ -177,12 +179,13 @@ def stars(key: np.ndarray, member: np.ndarray, n: np.ndarray, pos: np.ndarray, t
     return hub[first], mem[first], np.diff(np.r_[first, len(hub)]), np.minimum.reduceat(need, first), np.maximum.reduceat(star, first)
 
 
-def star_table(packed: DataFrame, dtype: np.dtype, t: float, shared: int = 1) -> DataFrame:
-    """Distinct (hub, member, star) of all index lists that were packed as rows (part, blob)."""
+def star_table(packed: DataFrame, dtype: np.dtype, t: float, shared: int = 1, direct: int = _DIRECT) -> DataFrame:
+    """Distinct (hub, member, star) of all index lists that were packed as rows (part, blob); lists of
+    more than direct entries become stars."""
 
     def lists(group: pa.Table) -> pa.Table:
         rows = unpack(group.column("blob"), dtype)
-        found = stars(rows["key"], rows["set"], rows["n"], rows["pos"], t, shared)
+        found = stars(rows["key"], rows["set"], rows["n"], rows["pos"], t, shared, direct)
         return pa.table(dict(zip(("hub", "member", "seen", "need", "star"), found)))
 
     edges = packed.groupBy("part").applyInArrow(lists, "hub bigint, member bigint, seen bigint, need bigint, star bigint")
@@ -279,6 +282,20 @@ def verify(hub: int, ids: np.ndarray, sets: list[np.ndarray], hubs: list[np.ndar
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _verify_few(hub: int, ids: list[int], blobs: list[bytes], hubs: list[list[int]], t: float) -> list[tuple[int, int, float]]:
+    """What verify gives, for a star of few members."""
+    sets = [set(memoryview(b).cast("Q")) for b in blobs]
+    lesser = [{h for h in hs if h < hub} for hs in hubs]
+    out = []
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(a & sets[j])
+            score = both / (len(a) + len(sets[j]) - both)
+            if score >= t - 1e-12 and lesser[i].isdisjoint(lesser[j]):
+                out.append((ids[i], ids[j], score))
+    return out
+
+
 def verified_pairs(texts: DataFrame, homes: DataFrame, stars_of: DataFrame, elements, t: float, spanning: bool = False) -> DataFrame:
     """(a, b, jaccard) of all pairs within stars that reach t.
 
@@ -318,18 +335,26 @@ def verified_pairs(texts: DataFrame, homes: DataFrame, stars_of: DataFrame, elem
         fresh[1:] = (hub[order][1:] != hub[order][:-1]) | (member[order][1:] != member[order][:-1])
         order = order[fresh]
         cuts = np.flatnonzero(np.r_[True, hub[order][1:] != hub[order][:-1], True])
-        blobs, hubs = group.column("elements").combine_chunks(), group.column("hubs").combine_chunks()
-        out = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
+        blobs, hubs = group.column("elements").to_pylist(), group.column("hubs").to_pylist()
+        out, few = [], []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             at = order[a:b]
             if b - a < 2:
                 continue
-            found = verify(
-                int(hub[at[0]]), member[at], [np.frombuffer(blobs[i].as_buffer(), np.uint64) for i in at], [hubs[i].values.to_numpy() for i in at], t
-            )
+            if b - a <= _FEW:
+                rows = at.tolist()
+                found = _verify_few(int(hub[rows[0]]), member[at].tolist(), [blobs[i] for i in rows], [hubs[i] for i in rows], t)
+                if not spanning:
+                    few += found
+                    continue
+                found = tuple(np.array(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            else:
+                found = verify(int(hub[at[0]]), member[at], [np.frombuffer(blobs[i], np.uint64) for i in at], [np.array(hubs[i]) for i in at], t)
             out.append(_spanning(*found) if spanning else found)
+        if few:
+            out.append(tuple(np.array(x) for x in zip(*few)))
         a, b, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"a": a, "b": b, "jaccard": s})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(s, pa.float64())})
 
     schema = "part int, hub bigint, member bigint, elements binary, hubs array<bigint>"
     rows = texts.join(wanted, "doc_id").select("text", "wanted").mapInArrow(spread, schema)

@@ -1,16 +1,17 @@
 """Substring dedup: MinHash banding over paragraphs whose place follows from their content.
 
-Passages that documents share rarely are lines of their own, so a *paragraph* here is a run of 24
+Passages that documents share rarely are lines of their own, so a *paragraph* here is a run of 16
 words that begins at an anchor, and anchors are chosen by winnowing (Schleimer et al., 2003): of every
-26 neighbouring word trigrams the least by hash.  A passage of 50 words thus has the same paragraph
+34 neighbouring word trigrams the least by hash.  A passage of 50 words thus has the same paragraph
 in every document that holds it, wherever it begins.
 
-Paragraphs are sets of word pairs with 6 MinHash values in 3 bands of 2, so a pair with a Jaccard
-similarity of 0.8 collides with a probability of 0.953, and of 0.9 with 0.993.  Colliding paragraphs
+Paragraphs are sets of word pairs with 16 MinHash values in 4 bands of 4.  Sets of 15 pairs that reach
+a Jaccard similarity of 0.8 have one of 0.875 at least, and then collide with a probability of 0.97;
+sets with repeated pairs, which are smaller, with 0.88 at the threshold itself.  Colliding paragraphs
 are verified by exact Jaccard, and removals are clustered by connected components.  In every
 cluster the occurrences in the least doc_id stay, and those in other documents go.
 
-Defined cases: rows with a null doc_id or a null text, and texts of fewer than 24 words, have no
+Defined cases: rows with a null doc_id or a null text, and texts of fewer than 16 words, have no
 paragraphs and lose nothing.  Repeats within one document stay.  Rows that share a doc_id are one
 document.  Other columns, of whatever name, are ignored.  An empty table gives no rows.
 """
@@ -29,9 +30,9 @@ from .jaccard import _usable, needed_stars, star_table, verified_pairs
 from .runtime import Packer, part_of, partitions, unpack, written
 from .textvec import Words, char_offsets, mix, words
 
-PARAGRAPH = 24
-WINNOW = 26
-BANDS, ROWS = 3, 2
+PARAGRAPH = 16
+WINNOW = 34
+BANDS, ROWS = 4, 4
 THRESHOLD = 0.8
 
 _BAND = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "u1"), ("pos", "u1")])
@@ -50,7 +51,7 @@ def sliding(op, x: np.ndarray, w: int) -> np.ndarray:
 
 
 def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, first word) of every paragraph of a chunk: anchors that have 24 words after them."""
+    """(text, first word) of every paragraph of a chunk: anchors that have 16 words after them."""
     s, b = w.shingles(3)
     texts, n = len(b) - 1, np.diff(b)
     pad = WINNOW - 1
@@ -62,7 +63,7 @@ def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray]:
     least = sliding(np.minimum, line, WINNOW)
     least[least == _TOP] = 0
     most = sliding(np.maximum, least, WINNOW)
-    # the runs that hold position i begin at i - 25 ... i, and every text has 25 fillers before it
+    # the runs that hold position i begin at i - 33 ... i, and every text has 33 fillers before it
     chosen = np.flatnonzero(s == most[at - pad])
     text = np.repeat(np.arange(texts), n)[chosen]
     word = chosen - b[text] + w.bounds[text]
@@ -77,7 +78,7 @@ def _pair_hashes(w: Words) -> np.ndarray:
 
 
 def _content(w: Words, first: np.ndarray) -> np.ndarray:
-    """64-bit identity of the 24 words from each given word on."""
+    """64-bit identity of the 16 words from each given word on."""
     acc = np.zeros(len(first), np.uint64)
     for j in range(PARAGRAPH):
         acc = acc * np.uint64(0x9E3779B97F4A7C15) + w.hash[first + j]
@@ -92,7 +93,8 @@ def _bands(w: Words, first: np.ndarray) -> Iterator[np.ndarray]:
         for r in range(ROWS):
             least = sliding(np.minimum, pairs * _SEEDS[band * ROWS + r], PARAGRAPH - 1)
             key = mix(key ^ least[first]) * np.uint64(0x9FB21C651E98DF25)
-        yield key
+        # 48 bits of a band are enough: bands that fall together only add candidates
+        yield key & ~np.uint64(0xFFFF)
 
 
 def _found(column: pa.Array) -> Iterator[tuple[Words, np.ndarray, np.ndarray, np.ndarray]]:
@@ -155,7 +157,7 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 yield t, c, np.unique(r)
 
     texts = _usable(docs)
-    stars = star_table(texts.select("text").mapInArrow(bands, "part int, blob binary"), _BAND, threshold)
+    stars = star_table(texts.select("text").mapInArrow(bands, "part int, blob binary"), _BAND, threshold, direct=2)
     ids = written(stars.select(F.col("hub").alias("member")).union(stars.select("member")).distinct(), "candidates")
     packed = texts.mapInArrow(places, "part int, blob binary")
     found = packed.groupBy("part").cogroup(ids.mapInArrow(parted, "part int, member bigint").groupBy("part"))
