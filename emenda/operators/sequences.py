@@ -95,3 +95,12 @@ def generate(window_candidates: DataFrame, bigrams: DataFrame, key: str = "doc_i
             yield pd.DataFrame(out, columns=[key, "win_id", "seq_id", "tokens", "beam_score"])
 
     return lists.mapInPandas(search, f"`{key}` {key_type}, {OUT}")
+
+
+def trimmed(counts: Sequence[int], limit: int) -> list[int]:
+    """Numbers of candidates per position, the first of the longest shortened by one again and again
+    until their product is within the limit."""
+    out = list(counts)
+    while math.prod(out) > limit and max(out) > 1:
+        out[out.index(max(out))] -= 1
+    return out

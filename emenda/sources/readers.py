@@ -115,3 +115,34 @@ def gold(raw: DataFrame, line: str = "line") -> DataFrame:
         must.alias("id"), ok("input").alias("input"), ok("expected").alias("expected"), F.coalesce("g.allowed_outputs", empty).alias("allowed_outputs"), "g.domain",
         F.coalesce("g.tags", empty).alias("tags"), "g.should_change", F.coalesce("g.protected_substrings", empty).alias("protected_substrings"), "g.notes",
     )
+
+
+def parse_json_array(raw: DataFrame, schema: str, column: str = "json") -> DataFrame:
+    """One row per element of the JSON arrays of a column."""
+    return raw.select(F.explode(F.from_json(column, f"array<struct<{schema}>>")).alias("e")).select("e.*")
+
+
+def snapshot_entries(raw: DataFrame) -> DataFrame:
+    """Entries of a database snapshot (surface, no_tone, kind, freq, conf): a frequency of zero counts as
+    missing, and a missing confidence is the frequency."""
+    freq = F.when(F.coalesce("freq", F.lit(0.0)) == 0, 1.0).otherwise(F.col("freq"))
+    return raw.select("surface", "no_tone", "kind", freq.alias("freq"), F.when(F.coalesce("conf", F.lit(0.0)) == 0, freq).otherwise(F.col("conf")).alias("confidence"))
+
+
+def hybrid(first: DataFrame, second: DataFrame, key: str, rule: str) -> DataFrame:
+    """Two sources of one kind of entry: rule keep (the first one's entry of a key wins), overwrite (the
+    second's wins) or append."""
+    if rule == "append":
+        return first.unionByName(second)
+    a, b = (first, second) if rule == "keep" else (second, first)
+    return a.unionByName(b.join(a.select(key).distinct(), key, "left_anti"))
+
+
+def domain_phrases(raw: DataFrame, score: float = 0.95) -> DataFrame:
+    return raw.select("domain", F.explode("phrases").alias("ngram")).withColumn("score", F.lit(score))
+
+
+def tokenized_phrases(raw: DataFrame, default: float = 1.0) -> DataFrame:
+    """Phrases (phrase, tokens, n, score) of at least two words whose n is right."""
+    rows = raw.where((F.col("n") >= 2) & (F.col("n") == F.size("tokens")))
+    return rows.select("phrase", "tokens", "n", F.coalesce("score", F.lit(default)).alias("score"))
