@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import Packer, part_of, partitions, unpack, written
+from .runtime import Packer, part_of, partitions, release, unpack, written
 from .textvec import mix, words
 
 NGRAM = 3
@@ -91,6 +91,7 @@ def document_sets(docs: DataFrame, n: int = NGRAM) -> DataFrame:
                 [ids.take(pa.array(rows, pa.int64())), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), none, pa.nulls(len(rows), pa.binary())],
                 ["doc_id", "set_id", "n", "block", "counts"],
             )
+        release()
         if counts.any():
             blobs = [b.tobytes() for b in counts.reshape(_BLOCKS, -1)]
             none = pa.nulls(_BLOCKS, pa.int64())
@@ -186,6 +187,8 @@ def star_table(packed: DataFrame, dtype: np.dtype, t: float, shared: int = 1, di
     def lists(group: pa.Table) -> pa.Table:
         rows = unpack(group.column("blob"), dtype)
         found = stars(rows["key"], rows["set"], rows["n"], rows["pos"], t, shared, direct)
+        del rows
+        release()
         return pa.table(dict(zip(("hub", "member", "seen", "need", "star"), found)))
 
     edges = packed.groupBy("part").applyInArrow(lists, "hub bigint, member bigint, seen bigint, need bigint, star bigint")
@@ -193,8 +196,9 @@ def star_table(packed: DataFrame, dtype: np.dtype, t: float, shared: int = 1, di
     return written(edges.where("seen >= need").select("hub", "member", "star"), "stars")
 
 
-def needed_stars(edges: DataFrame) -> DataFrame:
-    """(member, hubs) of as few stars as hold all pairs that edges stand for.
+def needed_stars(edges: DataFrame, pairs: bool = True) -> DataFrame:
+    """(member, hubs) of as few stars as hold all pairs that edges stand for; without pairs, all edges
+    are those of long lists.
 
     The stars of roots, which are no other centre's member, stay.  The edge of a pair goes if the
     least centre of either end is a root with both in its star; the star of a long list goes if
@@ -203,10 +207,14 @@ def needed_stars(edges: DataFrame) -> DataFrame:
     roots = edges.join(inner, "hub", "left_anti").select("hub", "member")
     rest = edges.join(inner, "hub", "left_semi")
     least = edges.groupBy("member").agg(F.min("hub").alias("least"))
-    rest = rest.join(least.select(F.col("member").alias("hub"), F.col("least").alias("p")), "hub").join(least.withColumnRenamed("least", "q"), "member")
+    rest = rest.join(least.select(F.col("member").alias("hub"), F.col("least").alias("p")), "hub")
     one = roots.select(F.col("hub").alias("p"), "member", F.lit(True).alias("one"))
     two = roots.select(F.col("hub").alias("q"), F.col("member").alias("hub"), F.lit(True).alias("two"))
-    rest = rest.join(one, ["p", "member"], "left").join(two, ["q", "hub"], "left").select("hub", "member", "star", "one", "two")
+    if pairs:
+        rest = rest.join(least.withColumnRenamed("least", "q"), "member").join(two, ["q", "hub"], "left")
+    else:
+        rest = rest.withColumn("two", F.lit(None).cast("boolean"))
+    rest = rest.join(one, ["p", "member"], "left").select("hub", "member", "star", "one", "two")
     bare = rest.where("star = 1").groupBy("hub").agg(F.count(F.when(F.col("one").isNull(), 1)).alias("missing")).where("missing > 0").select("hub", F.lit(True).alias("bare"))
     rest = rest.join(bare, "hub", "left").where("(star = 1 and bare) or (star = 0 and one is null and two is null)").select("hub", "member")
     kept = roots.union(rest)
@@ -354,6 +362,7 @@ def verified_pairs(texts: DataFrame, homes: DataFrame, stars_of: DataFrame, elem
         if few:
             out.append(tuple(np.array(x) for x in zip(*few)))
         a, b, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(s, pa.float64())})
 
     schema = "part int, hub bigint, member bigint, elements binary, hubs array<bigint>"
@@ -398,6 +407,7 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
                 # list keys keep 48 bits of the hash; lists that fall together only add candidates
                 yield from pack.add(x[:first] & ~np.uint64(0xFF), set=sid, n=size, pos=np.arange(first))
         yield from pack.flush()
+        release()
 
     edges = star_table(_usable(docs).select("text").mapInArrow(prefixes, "part int, blob binary"), _POSTING, threshold, _SHARED)
     hubs = needed_stars(edges)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import release
 from .textvec import string_buffers
 
 DIMENSIONS = 1024
@@ -32,6 +33,7 @@ MIN_SIMILARITY = 0.1
 
 _LETTERS = 256
 _CHUNK = 1 << 18
+_ROWS = 128
 
 
 def _letters() -> np.ndarray:
@@ -62,7 +64,7 @@ def _chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about _CHUNK bytes."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _CHUNK, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + _CHUNK, "right")) - 1), i + _ROWS)
         yield i, j
         i = j
 
@@ -138,6 +140,7 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, dimensions:
                     if norm:
                         name = labels[first + k]
                         total[name] = total.get(name, 0) + v.astype(np.float64) / norm
+        release()
         yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["label", "bundle"])
 
     sums: dict[str, np.ndarray] = {}
@@ -179,6 +182,7 @@ def _classify(docs: DataFrame, carried: list[str], names: list[str], proto: np.n
                 )
             else:
                 yield batch.filter(pa.array(accepted))
+        release()
 
     if rejected:
         schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried if c != "text") + ", language string, similarity double, margin double, accepted boolean"

@@ -7,11 +7,11 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, jaccard, langid, licenses, packing, substring, topk, toxicity, warc
+from . import decontaminate, html, jaccard, langid, licenses, packing, runtime, substring, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return runtime.tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

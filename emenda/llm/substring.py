@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .jaccard import _usable, needed_stars, star_table, verified_pairs
-from .runtime import Packer, part_of, partitions, unpack, written
+from .runtime import Packer, part_of, partitions, release, unpack, written
 from .textvec import Words, char_offsets, mix, words
 
 PARAGRAPH = 16
@@ -118,6 +118,7 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 for key in _bands(w, first):
                     yield from pack.add(key, set=content, n=1, pos=0)
         yield from pack.flush()
+        release()
 
     def places(batches):
         pack = Packer(parts, _PLACE)
@@ -129,6 +130,7 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 start, end = chars[w.start[first]] - base, chars[w.end[first + PARAGRAPH - 1]] - base
                 yield from pack.add(content.view(np.uint64), doc=ids[w.first + text], start=start, end=end)
         yield from pack.flush()
+        release()
 
     def parted(batches):
         for batch in batches:
@@ -164,7 +166,7 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     place = written(found.applyInArrow(live, "unit bigint, doc_id bigint, start bigint, end bigint"), "paragraphs")
 
     homes = place.groupBy(F.col("unit").alias("member")).agg(F.min("doc_id").alias("doc_id"))
-    similar = verified_pairs(texts, homes, needed_stars(stars), elements, threshold, spanning=True)
+    similar = verified_pairs(texts, homes, needed_stars(stars, pairs=False), elements, threshold, spanning=True)
     root = components(similar.select("a", "b"), "clusters").select(F.col("node").alias("unit"), "root")
 
     labelled = place.join(root, "unit", "left").withColumn("cluster", F.coalesce("root", "unit"))
