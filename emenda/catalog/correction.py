@@ -114,9 +114,9 @@ def cg_merge(spark, sf):
 _SCORED = f"(SELECT *, token = text AS is_original, round(greatest(0, least(1, weight + CASE WHEN known_word THEN 0.05 ELSE 0 END + 0.3 * coalesce(syl, 0) + 0.15 * coalesce(wf, 0) + CASE WHEN token = text THEN 0.05 ELSE 0 END + 0.02 * least(evidence, 5))), 10) AS score FROM {_MERGE})"
 
 
-@query("cg_prior", f"SELECT doc_id, tok_idx, text, round(score, 6) AS score FROM {_SCORED}")
+@query("cg_prior", f"SELECT doc_id, tok_idx, text, round(score, 4) AS score FROM {_SCORED}")
 def cg_prior(spark, sf):
-    return _merged(spark, sf).select("doc_id", "tok_idx", "text", F.round(C.ranking_score(), 6).alias("score"))
+    return _merged(spark, sf).select("doc_id", "tok_idx", "text", F.round(F.round(C.ranking_score(), 10), 4).alias("score"))
 
 
 _RANKED = f"(SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, tok_idx ORDER BY is_original DESC, score DESC, coalesce(wf, 0) DESC, coalesce(syl, 0) DESC, evidence DESC, text) AS INTEGER) AS rank FROM {_SCORED})"
