@@ -351,7 +351,7 @@ def correct_text(spark, sf):
 def correct_documents(spark, sf):
     """Accents stripped from documents and restored by the whole pipeline, with lexicon, phrases and
     n-grams mined from the same corpus."""
-    docs = documents(spark, sf).where("n_chars < 300 and doc_id < 2000")
+    docs = documents(spark, sf).where("n_chars < 300 and doc_id < 200")
     mined = frequencies(spark, sf)
     lexicon = X.as_lexicon(mined)
     w = documents(spark, sf).select(T.phrase_tokens(F.col("text")).alias("w"))
