@@ -6,7 +6,8 @@ documents.
 
 1. language ID drops documents without a recognisable language;
 2. the n-gram Jaccard join keeps the least doc_id of each group of near duplicates;
-3. substring dedup cuts passages that an earlier document has out of the text;
+3. substring dedup cuts passages that an earlier document has out of the text, and drops documents
+   of which no word is left;
 4. decontamination drops documents that hold a benchmark item;
 5. packing gives one row per training window, with its documents and the parts it has of them.
 
@@ -35,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     runtime.tune(spark)
-    return substring.without_repeats(docs)
+    return substring.without_repeats(docs).where(F.col("text").rlike(r"[^\x00-\x7f]|[0-9a-zA-Z]"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

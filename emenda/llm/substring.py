@@ -8,8 +8,16 @@ in every document that holds it, wherever it begins.
 Paragraphs are sets of word pairs with 16 MinHash values in 4 bands of 4.  Sets of 15 pairs that reach
 a Jaccard similarity of 0.8 have one of 0.875 at least, and then collide with a probability of 0.97;
 sets with repeated pairs, which are smaller, with 0.88 at the threshold itself.  Colliding paragraphs
-are verified by exact Jaccard, and removals are clustered by connected components.  In every
-cluster the occurrences in the least doc_id stay, and those in other documents go.
+are verified by exact Jaccard, and clustered by connected components.
+
+A paragraph is only where a repetition is looked for; what goes is the whole *stretch* that a document
+has in common with an earlier one of the cluster.  From the anchors on, both texts are followed word by
+word in both directions.  A stretch passes over one or two edited words (replaced, added or left out)
+where the 4 words after them are equal again, and counts from 20 words on.  An equal stretch of any
+length is found to its ends, as its next anchor is always within the words that are followed (48 beyond
+a paragraph); an edited one may be cut off where more than that lies between two common paragraphs.
+Equal paragraphs are compared with those of all earlier documents; in clusters of more than 8 paragraphs
+edited ones are compared with the least document's and with their neighbours in order of content.
 
 Defined cases: rows with a null doc_id or a null text, and texts of fewer than 16 words, have no
 paragraphs and lose nothing.  Repeats within one document stay.  Rows that share a doc_id are one
@@ -34,6 +42,13 @@ PARAGRAPH = 16
 WINNOW = 34
 BANDS, ROWS = 4, 4
 THRESHOLD = 0.8
+#: Words that are followed beyond a paragraph; words of the shortest stretch; equal words after an edit.
+CONTEXT = 48
+SHORTEST = 20
+REJOIN = 4
+#: (words of this text, words of the other) that an edit may take.
+_EDITS = ()
+_FEW = 8
 
 _BAND = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "u1"), ("pos", "u1")])
 _PLACE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
@@ -104,10 +119,107 @@ def _found(column: pa.Array) -> Iterator[tuple[Words, np.ndarray, np.ndarray, np
             yield w, text, first, _content(w, first)
 
 
+def _around(w: Words, first: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (0: none) and outer ends, in characters from the paragraph's start, of the words before each
+    given one, backwards, and of those from it on; after these ends, where its next two words begin."""
+    step = np.r_[-1 - np.arange(CONTEXT), np.arange(PARAGRAPH + CONTEXT)]
+    at = first[:, None] + step
+    inside = (at >= w.bounds[text][:, None]) & (at < w.bounds[text + 1][:, None])
+    at = np.where(inside, at, first[:, None])
+    hashes = np.where(inside, (w.hash >> np.uint64(32)).astype(np.uint32)[at] | np.uint32(1), np.uint32(0))
+    chars = char_offsets(w.data)
+    begin = chars[w.start[first]][:, None]
+    edge = np.where(step < 0, begin - chars[w.start[at]], chars[w.end[at]] - begin)
+    second = chars[w.start[at[:, CONTEXT + 1 : CONTEXT + 3]]] - begin
+    return hashes, np.hstack([edge, second]).astype(np.uint32)
+
+
+def _common(key: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Of each line, how many first words some lesser doc of the same key has as well."""
+    out, live, group = np.zeros(len(key), np.int64), np.arange(len(key)), np.unique(key, return_inverse=True)[1]
+    for k in range(line.shape[1]):
+        some = line[live, k] != 0
+        live, group = live[some], group[some]
+        if not len(live):
+            break
+        _, group = np.unique(group.astype(np.uint64) << np.uint64(32) | line[live, k], return_inverse=True)
+        least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, group, doc[live])
+        more = least[group] < doc[live]
+        out[live[more]] = k + 1
+        several = np.bincount(group, more)[group] > 0
+        live, group = live[several], group[several]
+    return out
+
+
+def _follow(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each line of a that the line of b has as well, edits included, and how many of them are
+    edited ones at its begin."""
+    width = a.shape[1]
+    pad = np.zeros((len(a), 2 + REJOIN), np.uint32)
+    a, b = np.hstack([a, pad]), np.hstack([b, pad])
+    x, y, lead, live = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.arange(len(a))
+    while len(live):
+        word = a[live, x[live]]
+        same = (word != 0) & (word == b[live, y[live]])
+        on, stuck = live[same], live[~same]
+        x[on] += 1
+        y[on] += 1
+        on = [on]
+        for dx, dy in _EDITS:
+            good = stuck
+            for k in range(REJOIN):
+                word = a[good, x[good] + dx + k]
+                good = good[(word != 0) & (word == b[good, y[good] + dy + k])]
+            lead[good[x[good] == 0]] = dx
+            x[good] += dx + REJOIN
+            y[good] += dy + REJOIN
+            on.append(good)
+            stuck = np.setdiff1d(stuck, good, assume_unique=True)
+        live = np.concatenate(on)
+        live = live[(x[live] < width) & (y[live] < width)]
+    return x, lead
+
+
+def stretches(cluster: np.ndarray, unit: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words before, words from the anchor on) of the stretch of each paragraph; the words before are
+    negative where it begins after the anchor.  Rows are in the order of cluster and doc, lines as of _around."""
+    back, ahead = np.ascontiguousarray(line[:, :CONTEXT]), np.ascontiguousarray(line[:, CONTEXT:])
+    before, after = _common(unit, doc, back), _common(unit, doc, ahead)
+    equal = after >= PARAGRAPH
+    before[~equal], after[~equal] = -PARAGRAPH, 0
+    first = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1]])
+    size = np.diff(np.r_[first, len(cluster)])
+    head, few, row = np.repeat(first, size), np.repeat(size <= _FEW, size), np.arange(len(cluster))
+    pairs = [(row, head)]
+    for d in range(1, _FEW):
+        i = row[d:]
+        i = i[(cluster[i] == cluster[i - d]) & few[i]]
+        pairs.append((i, i - d))
+    for side in (back, ahead):
+        order = np.lexsort((*(side[:, k] for k in (7, 6, 5, 4, 3, 2, 1, 0)), cluster))
+        order = order[~few[order]]
+        for d in (1, 2):
+            a, b = order[d:], order[:-d]
+            near = cluster[a] == cluster[b]
+            pairs += [(a[near], b[near]), (b[near], a[near])]
+    i, j = (np.concatenate(x) for x in zip(*pairs))
+    earlier = doc[j] < doc[i]
+    i, j = np.unique(np.stack([i[earlier], j[earlier]]), axis=1)
+    for k in range(0, len(i), 1 << 14):
+        a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+        (n, _), (m, lead) = _follow(back[a], back[b]), _follow(ahead[a], ahead[b])
+        n = np.where(n == 0, -lead, n)
+        long = (m > 0) & (n + m >= SHORTEST)
+        np.maximum.at(before, a[long], n[long])
+        np.maximum.at(after, a[long], m[long])
+    return before, after
+
+
 def repeated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Removals (doc_id, start, end, kept_doc_id, paragraphs): characters start to end (exclusive)
-    of the document repeat what the earlier document kept_doc_id holds; a span joins overlapping
-    paragraphs, and kept_doc_id is the least of theirs."""
+    of the document repeat what earlier documents hold; a span joins overlapping stretches,
+    kept_doc_id is the least document of their clusters, and paragraphs says how many were joined."""
     spark = docs.sparkSession
     parts = partitions(spark)
 
@@ -171,18 +283,79 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     labelled = place.join(root, "unit", "left").withColumn("cluster", F.coalesce("root", "unit"))
     kept = labelled.groupBy("cluster").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("last")).where("kept <> last").select("cluster", "kept")
-    gone = labelled.join(kept, "cluster").where("doc_id <> kept").select("doc_id", "start", "end", "kept")
+    first = F.min("doc_id").over(Window.partitionBy("cluster", "unit"))
+    several = written(labelled.join(kept, "cluster").select("cluster", "unit", "doc_id", "start", "end", "kept", (F.col("doc_id") > first).alias("equal")), "several")
+
+    # contexts are needed of clusters in which a paragraph is at the edge of a run of equal ones, or is none
     own = Window.partitionBy("doc_id").orderBy("start", "end")
     before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    equal = several.where("equal").withColumn("edge", F.coalesce(before < F.col("start"), F.lit(True)) | F.coalesce(F.lead("start").over(own) > F.col("end"), F.lit(True)))
+    open_ = equal.where("edge").select("cluster").union(several.where("not equal and doc_id <> kept").select("cluster")).distinct()
+    asked = several.join(open_, "cluster").groupBy("doc_id").agg(F.collect_list(F.struct("start", "unit", "cluster", "kept")).alias("asked"))
+
+    def contexts(batches):
+        for batch in batches:
+            ids, lists = batch.column("doc_id").to_numpy(), batch.column("asked")
+            flat = lists.flatten()
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            start, unit, cluster, least = (flat.field(c).to_numpy() for c in ("start", "unit", "cluster", "kept"))
+            for w in words(batch.column("text")):
+                i = np.arange(*np.searchsorted(owner, [w.first, w.first + len(w.bounds) - 1]))
+                if not len(i) or not len(w.hash):
+                    continue
+                chars = char_offsets(w.data)
+                text = owner[i] - w.first
+                begin = chars[w.start]
+                place = chars[w.offsets[text]] + start[i]
+                word = np.minimum(np.searchsorted(begin, place), len(begin) - 1)
+                # rows that share a doc_id may have other paragraphs
+                good = (begin[word] == place) & (word >= w.bounds[text]) & (word + PARAGRAPH <= w.bounds[text + 1])
+                i, text, word = i[good], text[good], word[good]
+                good = _content(w, word) == unit[i]
+                i, text, word = i[good], text[good], word[good]
+                for k in range(0, len(i), 1 << 13):
+                    s = slice(k, k + (1 << 13))
+                    line, edge = _around(w, word[s], text[s])
+                    planes = np.ascontiguousarray(edge.view(np.uint8).reshape(len(edge), -1, 4).transpose(0, 2, 1))
+                    at = i[s]
+                    doc = ids[owner[at]]
+                    yield pa.record_batch(
+                        [pa.array(part_of(cluster[at], parts)), pa.array(cluster[at]), pa.array(unit[at]), pa.array(doc), pa.array(start[at]), pa.array(least[at]),
+                         pa.array([x.tobytes() for x in line], pa.binary()), pa.array([None if d == m else x.tobytes() for x, d, m in zip(planes, doc.tolist(), least[at].tolist())], pa.binary())],
+                        ["part", "cluster", "unit", "doc_id", "start", "kept", "line", "edges"],
+                    )
+        release()
+
+    def extended(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("cluster", "ascending"), ("doc_id", "ascending")])
+        cluster, unit, doc, start, least = (group.column(c).to_numpy() for c in ("cluster", "unit", "doc_id", "start", "kept"))
+        lines, edges = group.column("line").to_pylist(), group.column("edges").to_pylist()
+        back, ahead = stretches(cluster, unit, doc, np.frombuffer(b"".join(lines), np.uint32).reshape(len(lines), -1))
+        rows = np.flatnonzero(ahead > 0)
+        _, code = np.unique(unit, return_inverse=True)
+        seen = np.full(code.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(seen, code, doc)
+        left, right = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        for k, (i, n, m) in enumerate(zip(rows.tolist(), back[rows].tolist(), ahead[rows].tolist())):
+            edge = np.ascontiguousarray(np.frombuffer(edges[i], np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+            left[k] = edge[n - 1] if n > 0 else -int(edge[-3 - n]) if n else 0
+            right[k] = edge[CONTEXT + m - 1]
+        release()
+        return pa.table({"doc_id": doc[rows], "start": start[rows] - left, "end": start[rows] + right, "kept": least[rows], "paragraphs": (doc == seen[code])[rows].astype(np.int64)})
+
+    schema = "part int, cluster bigint, unit bigint, doc_id bigint, start bigint, kept bigint, line binary, edges binary"
+    around = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(contexts, schema)
+    more = around.groupBy("part").applyInArrow(extended, "doc_id bigint, start bigint, end bigint, kept bigint, paragraphs bigint")
+    gone = several.where("equal").select("doc_id", "start", "end", "kept", F.lit(1).cast("bigint").alias("paragraphs")).union(more)
     spans = gone.withColumn("fresh", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("span", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     return spans.groupBy("doc_id", "span").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min("kept").alias("kept_doc_id"), F.count("*").alias("paragraphs")
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("kept").alias("kept_doc_id"), F.sum("paragraphs").alias("paragraphs")
     ).drop("span")
 
 
 def without_repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the repeated spans cut out of text, and n_chars following; documents of which
-    nothing but white space is left go.  Documents that lose nothing are returned as they are."""
+    """docs with the repeated spans cut out of text, and n_chars following.  All rows stay, also those
+    of which nothing is left; documents that lose nothing are returned as they are."""
     spans = repeated(docs, threshold).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
     rows = docs.join(spans, "doc_id", "left")
     size = F.length("text")
@@ -193,4 +366,4 @@ def without_repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = rows.withColumn("text", cut)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.where(F.col("__spans").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+    return rows.select(*docs.columns)

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -60,6 +62,35 @@ def test_near_paragraphs_meet_brute_force(docs):
     assert len(hit & set(range(1, 120, 2))) >= 54
 
 
+def left_over(spans, text, doc, first, size):
+    """Words first ... first + size - 1 of a text that no span covers."""
+    at = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)][first : first + size]
+    return sum(not any(s <= a and b <= e for s, e in spans.get(doc, [])) for a, b in at)
+
+
+def spans_of(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.doc_id, []).append((r.start, r.end))
+    return out
+
+
+def test_equal_passages_go_to_their_ends(docs):
+    """Of passages of 50 to 500 words nothing stays in the later documents, and nothing else goes."""
+    rows, wide = [], 100_000
+    for i, size in enumerate([50, 52, 55, 60, 75, 100, 200, 500] * 5):
+        passage = prose(size, 7000 + i, wide)
+        for k in range(3):
+            rows.append((3 * i + k, f"{prose(20 + 7 * k, 10 * i + k, wide)} {passage} {prose(35 + k, 90_000 + 10 * i + k, wide)}"))
+    spans, sizes = spans_of(substring.repeated(docs(rows)).collect()), [50, 52, 55, 60, 75, 100, 200, 500] * 5
+    assert not any(3 * i in spans for i in range(40))
+    for i, size in enumerate(sizes):
+        for k in (1, 2):
+            text, doc = rows[3 * i + k][1], 3 * i + k
+            assert left_over(spans, text, doc, 20 + 7 * k, size) == 0
+            assert sum(len(text[s:e].split()) for s, e in spans[doc]) <= size + 4
+
+
 def test_odd_rows(docs):
     p = prose(50, 9)
     rows = [(None, p), (None, p), (1, None), (2, ""), (3, p), (3, p), (4, "is " * 500), (5, prose(20_000, 8)), (6, p)]
