@@ -62,6 +62,21 @@ def test_near_paragraphs_meet_brute_force(docs):
     assert len(hit & set(range(1, 120, 2))) >= 54
 
 
+def test_bands_meet_nearly_all_pairs_at_the_threshold():
+    """Paragraphs with an edited word, at 21/25, collide in a band nineteen times in twenty at least."""
+    met = []
+    for i in range(400):
+        a = prose(24, 5000 + i, 100_000).split()
+        b = list(a)
+        b[4 + i % 8] = "zzz"
+        keys = []
+        for text in (a, b):
+            w = next(iter(arrow_words(pa.array([" ".join(text)]))))
+            keys.append([int(k[0]) for k in substring._bands(w, np.zeros(1, np.int64))])
+        met.append(any(x == y for x, y in zip(*keys)))
+    assert sum(met) >= 0.95 * len(met)
+
+
 def left_over(spans, text, doc, first, size):
     """Words first ... first + size - 1 of a text that no span covers."""
     at = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)][first : first + size]
