@@ -46,7 +46,7 @@ CONTEXT = 48
 SHORTEST = 20
 REJOIN = 4
 #: (words of this text, words of the other) that an edit may take.
-_EDITS = ()
+_EDITS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2))
 _FEW = 8
 
 _BAND = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "u1"), ("pos", "u1")])

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -106,6 +107,32 @@ def test_equal_passages_go_to_their_ends(docs):
             assert sum(len(text[s:e].split()) for s, e in spans[doc]) <= size + 4
 
 
+def edited(passage, seed):
+    """The passage with a word replaced, added or left out at a random place, and that place."""
+    r, p = random.Random(seed), passage.split()
+    at = r.randrange(len(p))
+    p[at : at + 1] = [["zzz"], ["zzz", p[at]], []][seed % 3]
+    return " ".join(p), at
+
+
+def test_passages_with_an_edit_anywhere_are_found_whole(docs):
+    """All passages of 60 words with an edited word share 24-word windows at the threshold: nineteen in
+    twenty are found, and of these all words go up to an edit that is near an end."""
+    rows, sizes, places = [], [], []
+    for i in range(120):
+        passage = prose(60, 20_000 + i, 100_000)
+        other, at = edited(passage, i)
+        rows += [(2 * i, f"{prose(40, 30_000 + i, 100_000)} {passage} {prose(40, 31_000 + i, 100_000)}"), (2 * i + 1, f"{prose(30, 32_000 + i, 100_000)} {other} {prose(30, 33_000 + i, 100_000)}")]
+        sizes.append(len(other.split()))
+        places.append(at)
+    spans = spans_of(substring.repeated(docs(rows)).collect())
+    found = [i for i in range(120) if 2 * i + 1 in spans]
+    assert len(found) >= 114
+    for i in found:
+        left = left_over(spans, rows[2 * i + 1][1], 2 * i + 1, 30, sizes[i])
+        assert left == 0 or min(places[i], 60 - places[i]) <= substring.REJOIN and left <= substring.REJOIN + 2
+
+
 def test_odd_rows(docs):
     p = prose(50, 9)
     rows = [(None, p), (None, p), (1, None), (2, ""), (3, p), (3, p), (4, "is " * 500), (5, prose(20_000, 8)), (6, p)]
