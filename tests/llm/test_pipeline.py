@@ -36,3 +36,23 @@ def test_decisions_take_effect(spark, folder):
     windows = corpus_pipeline.run(spark, folder).collect()
     assert {i for w in windows for i in w.doc_ids} == kept[3]
     assert len(words(passage)) == 60
+
+
+def test_no_piece_of_a_passage_or_an_item_passes(spark, docs, tmp_path):
+    """Of passages and items that several documents hold, the stages leave no eight words in a row but
+    those of the document that keeps the passage."""
+    passages, items = [prose(n, 40_000 + n, 100_000) for n in (60, 90, 200)], [prose(n, 41_000 + n, 100_000) for n in (30, 40, 50, 59)]
+    rows = [(10 * i + k, f"{prose(200 + 9 * k, 42_000 + 10 * i + k, 100_000)} {p} {prose(210, 43_000 + 10 * i + k, 100_000)}") for i, p in enumerate(passages + items) for k in range(4)]
+    rows.append((100, items[3]))
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = corpus_pipeline.substrings(spark, docs(rows), str(tmp_path))
+    text = {r.doc_id: r.text for r in corpus_pipeline.decontamination(spark, found, str(tmp_path)).collect()}
+    assert 100 not in text and {0, 1, 2, 3, 10, 20} <= set(text)
+
+    def pieces(p):
+        w = p.split()
+        return {" ".join(w[i : i + 8]) for i in range(len(w) - 7)}
+
+    for i, p in enumerate(passages + items):
+        holding = [d for d, t in text.items() if any(x in t for x in pieces(p))]
+        assert holding == ([10 * i] if i < len(passages) else [])
