@@ -349,9 +349,9 @@ def correct_text(spark, sf):
 
 @query("correct_documents")
 def correct_documents(spark, sf):
-    """Accents stripped from documents and restored by the whole pipeline, with lexicon, phrases and
-    n-grams mined from the same corpus."""
-    docs = documents(spark, sf).where("n_chars < 300 and doc_id < 200")
+    """Accents stripped from documents of under 300 characters and restored by the whole pipeline, with
+    lexicon and n-grams mined from the whole corpus."""
+    docs = documents(spark, sf).where("n_chars < 300")
     mined = frequencies(spark, sf)
     lexicon = X.as_lexicon(mined)
     w = documents(spark, sf).select(T.phrase_tokens(F.col("text")).alias("w"))

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from emenda import catalog
 from emenda.functions import text as T
 from emenda.operators import decision, lattice, rebuild, sequences, spans
 
@@ -104,3 +105,11 @@ def test_position_lists_reach_the_original():
 def test_thresholds():
     with pytest.raises(ValueError):
         decision.Thresholds(0.7, 0.1, 0.2)
+
+
+def test_short_documents_of_any_id_are_corrected(spark, tmp_path):
+    text = "một hai ba bốn năm sáu bảy tám"
+    rows = [(i, text + " chín" * (i % 3), len(text) + 5 * (i % 3)) for i in (1, 199, 200, 5000, 10**12)] + [(7, text * 20, 600)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["correct_documents"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {1, 199, 200, 5000, 10**12} and all(r.status == "ok" for r in got)
