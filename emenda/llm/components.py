@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import discard, written
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the least node of its component.
+    """(node, root) for every node of edges (a, b): root is the least node of its component.  Nodes are
+    of any type that has an order.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), each an aggregation over
     edges, until nothing changes; every round is written to the shared folder, so the plan doesn't
@@ -29,7 +30,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         )
         # small star: every smaller neighbour, and the node, point to the least of them
         small = large.withColumn("m", F.min("b").over(own)).select(F.explode(F.array("b", "a")).alias("a"), F.col("m").alias("b"))
-        now = written(small.where("a <> b").distinct(), name)
+        last, now = now, written(small.where("a <> b").distinct(), name)
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

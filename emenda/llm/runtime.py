@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of packed rows that a task gathers before it hands them on.
 FLUSH_BYTES = 16 << 20
 BATCH_BYTES = 8 << 20
+#: Bytes of stored input that one packed partition stands for, at most.
+PART_BYTES = 32 << 20
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,11 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and any executor can be lost."""
+    """df as a table in the shared folder: its lineage ends there, and any executor can be lost.  The
+    shuffle files of the write go when it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() gave, once nothing reads them any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -54,18 +74,27 @@ def release() -> None:
         pass
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, docs: DataFrame | None = None) -> int:
+    """Partitions of a packed shuffle: spark.sql.shuffle.partitions, or more where the files of docs
+    are more than so many can hold."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if docs is None:
+        return least
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # a plan without files has no size, and says 2 ** 63 - 1 or a multiple of it
+    return least if size >= 1 << 60 else max(least, -(-size // PART_BYTES))
 
 
 class Packer:
     """Gathers numpy columns and yields them as one binary value per partition of the shuffle.
 
     A row (part, blob) holds all that a task has for a partition, so that a shuffle of many small
-    records costs the JVM a few rows."""
+    records costs the JVM a few rows.  Rows go by their key without its lowest bits to the partitions
+    first, first + 1, ..., first + parts - 1."""
 
-    def __init__(self, parts: int, dtype: np.dtype):
+    def __init__(self, parts: int, dtype: np.dtype, lowest: int = 0, first: int = 0):
         self.parts, self.dtype, self.held, self.size = parts, dtype, [], 0
+        self.lowest, self.first = np.uint64(lowest), first
 
     def add(self, key: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(key):
@@ -82,7 +111,7 @@ class Packer:
         if self.held:
             rows = np.concatenate(self.held)
             self.held, self.size = [], 0
-            part = part_of(rows["key"], self.parts)
+            part = part_of(rows["key"] >> self.lowest, self.parts) + np.int32(self.first)
             order = np.argsort(part, kind="stable")
             rows, part = rows[order], part[order]
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
