@@ -114,9 +114,10 @@ def cg_merge(spark, sf):
 _SCORED = f"(SELECT *, token = text AS is_original, round(greatest(0, least(1, weight + CASE WHEN known_word THEN 0.05 ELSE 0 END + 0.3 * coalesce(syl, 0) + 0.15 * coalesce(wf, 0) + CASE WHEN token = text THEN 0.05 ELSE 0 END + 0.02 * least(evidence, 5))), 10) AS score FROM {_MERGE})"
 
 
-@query("cg_prior", f"SELECT doc_id, tok_idx, text, round(score, 4) AS score FROM {_SCORED}")
+@query("cg_prior", f"SELECT doc_id, tok_idx, text, floor(score * 1000000 + 0.5) / 1000000 AS score FROM {_SCORED}")
 def cg_prior(spark, sf):
-    return _merged(spark, sf).select("doc_id", "tok_idx", "text", F.round(F.round(C.ranking_score(), 10), 4).alias("score"))
+    # round is half up by decimal digits here and by binary value there; this is the same in both
+    return _merged(spark, sf).select("doc_id", "tok_idx", "text", (F.floor(F.round(C.ranking_score(), 10) * 1000000.0 + 0.5) / 1000000.0).alias("score"))
 
 
 _RANKED = f"(SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, tok_idx ORDER BY is_original DESC, score DESC, coalesce(wf, 0) DESC, coalesce(syl, 0) DESC, evidence DESC, text) AS INTEGER) AS rank FROM {_SCORED})"
@@ -249,9 +250,20 @@ def sc_total(spark, sf):
     return _scored(spark).select("seq_id", F.round("raw", 6).alias("raw"), "confidence", "rank")
 
 
-@query("sc_explain", "SELECT CAST(1 AS BIGINT) AS seq_id, CAST(3 AS INTEGER) AS n")
+_EDIT_SQL = f"(SELECT s.seq_id, sum(CASE WHEN s.token = s.original THEN 1.0::DOUBLE ELSE coalesce(1.0::DOUBLE / (1 + w.edit_distance), 0) END) AS edit, CAST(sum(CASE WHEN s.token <> s.original AND w.is_ocr THEN 1 ELSE 0 END) AS DOUBLE) AS ocr FROM {_SEQ} s LEFT JOIN {WINDOW.sql()} w ON s.token <> s.original AND w.token = s.original AND w.text = s.token GROUP BY 1)"
+_NGRAM_SQL = f"(SELECT g.seq_id, sum(coalesce(s.score, 0)) AS ngram FROM (SELECT seq_id, unnest([b, t, f]) AS g FROM {_GRAMS}) g LEFT JOIN (SELECT * FROM {NGRAMS.sql()} WHERE kind IN ('bigram', 'trigram', 'fourgram')) s ON g.g = s.ngram GROUP BY 1)"
+_DOMAIN_SQL = f"(SELECT q.seq_id, coalesce(n.score, 0) AS domain FROM {SEQUENCES.sql()} q LEFT JOIN (SELECT * FROM {NGRAMS.sql()} WHERE kind = 'domain') n ON array_to_string(q.tokens, ' ') = n.ngram)"
+
+
+@query(
+    "sc_explain",
+    f"""SELECT q.seq_id, CAST(q.pos - 1 AS INTEGER) AS pos, q.original, q.token AS corrected, k.kind, round(CASE k.kind WHEN 'ocr_confusion' THEN e.ocr WHEN 'phrase_ngram' THEN 1.4 * n.ngram WHEN 'edit_distance' THEN 0.6 * e.edit ELSE 1.2 * d.domain END, 6) AS delta
+    FROM {_SEQ} q JOIN {_EDIT_SQL} e USING (seq_id) JOIN {_NGRAM_SQL} n USING (seq_id) JOIN {_DOMAIN_SQL} d USING (seq_id) CROSS JOIN (SELECT unnest(['ocr_confusion', 'phrase_ngram', 'edit_distance', 'domain_context']) AS kind) k
+    WHERE q.token <> q.original AND CASE k.kind WHEN 'ocr_confusion' THEN e.ocr WHEN 'phrase_ngram' THEN n.ngram WHEN 'edit_distance' THEN e.edit ELSE d.domain END > 0""",
+)
 def sc_explain(spark, sf):
-    return scoring.explanations(_scored(spark).where("seq_id = 1")).select("seq_id", F.size("reasons").alias("n"))
+    rows = scoring.explanations(_scored(spark), ["win_id"]).select("seq_id", "pos", "original", "corrected", F.explode("evidence").alias("e"))
+    return rows.select("seq_id", "pos", "original", "corrected", F.col("e.kind").alias("kind"), F.round("e.delta", 6).alias("delta"))
 
 
 @query("sq_beam", "SELECT * FROM (VALUES (0, 'số muỗng gạt ngang'), (1, 'số mùông gạt ngang')) AS v(seq_id, tokens)")

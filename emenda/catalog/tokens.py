@@ -163,33 +163,33 @@ def islands_sql(source: str = "documents") -> str:
 
 @query("tok_islands", f"SELECT * FROM {islands_sql()}")
 def tok_islands(spark, sf):
-    return K.islands(K.tokenize(documents(spark, sf))).select("doc_id", "tok_idx", "token", "island", "word_pos")
+    return K.island_words(documents(spark, sf)).select("doc_id", "tok_idx", "token", "island", "word_pos")
 
 
 @query(
     "tok_spans",
-    f"""WITH w AS (SELECT * FROM {islands_sql('(SELECT * FROM documents WHERE doc_id < 100)')})
+    f"""WITH w AS (SELECT * FROM {islands_sql()})
     SELECT a.doc_id, a.island, a.word_pos AS start_pos, CAST(b.word_pos - a.word_pos + 1 AS INTEGER) AS n, a.tok_idx AS first_tok, b.tok_idx AS last_tok
     FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.island = b.island AND b.word_pos BETWEEN a.word_pos + 1 AND a.word_pos + 7""",
 )
 def tok_spans(spark, sf):
-    return K.word_spans(K.islands(K.tokenize(documents(spark, sf).where("doc_id < 100")))).select("doc_id", "island", "start_pos", "n", "first_tok", "last_tok")
+    return K.word_spans(K.island_words(documents(spark, sf))).select("doc_id", "island", "start_pos", "n", "first_tok", "last_tok")
 
 
 @query(
     "tok_ngrams",
-    """WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x <> '') AS w FROM documents WHERE doc_id < 200),
+    """WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x <> '') AS w FROM documents),
     g AS (SELECT w[i : i + n - 1] AS g, n FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT w, unnest([2, 3, 4]) AS n FROM w)))
     SELECT array_to_string(g, ' ') AS ngram, count(*) AS cnt FROM g GROUP BY 1 HAVING count(*) > 1""",
 )
 def tok_ngrams(spark, sf):
-    w = documents(spark, sf).where("doc_id < 200").select(T.phrase_tokens(F.col("text")).alias("w"))
+    w = documents(spark, sf).select(T.phrase_tokens(F.col("text")).alias("w"))
     return w.select(F.explode(K.ngrams(F.col("w"), 2, 4)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("cnt")).where("cnt > 1")
 
 
-@query("tok_phrase_rebuild", "SELECT doc_id, upper(text) AS out FROM documents WHERE doc_id < 100 AND text <> '' AND NOT contains(text, 'ß')")
+@query("tok_phrase_rebuild", "SELECT doc_id, upper(text) AS out FROM documents WHERE text <> '' AND NOT contains(text, 'ß')")
 def tok_phrase_rebuild(spark, sf):
-    toks = K.tokenize(documents(spark, sf).where("doc_id < 100 and text <> '' and not contains(text, 'ß')"))
+    toks = K.tokenize(documents(spark, sf).where("text <> '' and not contains(text, 'ß')"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))), lambda x: x["token"])
     rows = toks.groupBy("doc_id").agg(parts.alias("t")).withColumn("w", F.transform(F.filter("t", lambda x: x.rlike(r"(?U)\S")), lambda x: F.upper(x)))
     return rows.select("doc_id", K.rebuild_phrase(F.col("t"), F.col("w")).alias("out"))

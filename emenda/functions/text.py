@@ -1,6 +1,6 @@
 """Text functions as columns: Unicode clean-up, accents, case and keys.
 
-Everything but NFC runs in the JVM.  The character tables are derived from Unicode data, and are the
+Everything but NFC and the distances of long texts and of word lists runs in the JVM.  The character tables are derived from Unicode data, and are the
 same in the SQL that the queries are compared with.
 """
 
@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
+from .chars import distance
+
 _TONES = {chr(c) for c in (0x300, 0x301, 0x303, 0x309, 0x323)}
 _QUALITY = {chr(0x302): "aeo", chr(0x306): "a", chr(0x31B): "ou"}
 
@@ -158,14 +160,12 @@ def placeholder(kind: Column, index: Column) -> Column:
 
 @F.pandas_udf(IntegerType())
 def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Levenshtein distance of two word lists."""
+    """Levenshtein distance of two word lists, null where either is."""
+    return pd.Series([None if x is None or y is None else distance(list(x), list(y)) for x, y in zip(a, b)], dtype="Int32")
 
-    def one(x, y) -> int:
-        row = list(range(len(y) + 1))
-        for i, u in enumerate(x, 1):
-            last, row[0] = row[0], i
-            for j, v in enumerate(y, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (u != v))
-        return row[-1]
 
-    return pd.Series([None if x is None or y is None else one(list(x), list(y)) for x, y in zip(a, b)], dtype="Int32")
+@F.pandas_udf(IntegerType())
+def char_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Levenshtein distance of two texts, for long ones: its time is that of one integer of so many bits
+    as one text has characters, for every character of the other."""
+    return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b)], dtype="Int32")

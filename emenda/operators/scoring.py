@@ -125,10 +125,20 @@ def score(sequences: DataFrame, candidates: DataFrame, words: DataFrame, syllabl
     return out.withColumn("confidence", confidence(F.col("raw"))).withColumn("rank", F.row_number().over(order))
 
 
-def explanations(changed: DataFrame) -> DataFrame:
-    """Rows of changed positions with up to four reasons, from the signs of the signals."""
-    reasons = F.array_compact(F.array(
-        F.when(F.col("ngram") > 0, "phrase n-grams support it"), F.when(F.col("ocr") > 0, "known confusion"),
-        F.when(F.col("domain") > 0, "domain phrase"), F.when(F.col("overcorrection") > 0, "touches a known word"),
-    ))
-    return changed.withColumn("reasons", reasons)
+#: Kinds of evidence in the order in which they are given, and their signals.
+EVIDENCE = (("ocr_confusion", "ocr"), ("phrase_ngram", "ngram"), ("edit_distance", "edit"), ("domain_context", "domain"))
+
+
+def explanations(scored: DataFrame, keys: list[str], weights: Weights = Weights()) -> DataFrame:
+    """(keys, seq_id, pos, original, corrected, evidence) of every changed position: each kind of evidence
+    whose signal of the sequence is positive, with what it adds to the score and a message."""
+    original, token = F.col("original"), F.col("corrected")
+    message = {
+        "ocr_confusion": F.concat(F.lit("known confusion of "), original, F.lit(" with "), token), "phrase_ngram": F.lit("n-grams of the sequence are known"),
+        "edit_distance": F.lit("near to the original"), "domain_context": F.lit("phrase of the domain"),
+    }
+    rows = positions(scored, keys).where("token <> original").withColumnRenamed("token", "corrected").join(scored.select(*keys, "seq_id", *SIGNALS), [*keys, "seq_id"])
+    found = F.array_compact(F.array(*(
+        F.when(F.col(signal) > 0, F.struct(F.lit(kind).alias("kind"), message[kind].alias("message"), (getattr(weights, signal) * F.col(signal)).alias("delta"))) for kind, signal in EVIDENCE
+    )))
+    return rows.select(*keys, "seq_id", "pos", "original", "corrected", found.alias("evidence"))

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..functions.chars import codepoints
 
 _DIGIT = rf"\p{{Nd}}{T.OTHER_DIGITS}"
 _SPACE = r"[\s\x1c-\x1f\x85&&[^\n]]"
-#: Alternatives in the order in which a character's class is decided.
-PATTERN = rf"(?U)\n+|[{_DIGIT}]+|\p{{L}}+|{_SPACE}+|[[\p{{C}}\p{{Z}}]&&[^\s\x1c-\x1f\x85]]+|[^\n{_DIGIT}\p{{L}}\p{{C}}\p{{Z}}\s]+"
+_TYPES = ("NEWLINE", "NUMBER", "FOREIGN_WORD", "VI_WORD", "SPACE", "UNKNOWN", "PUNCT")
+_NEWLINE, _NUMBER, _FOREIGN, _VI, _BLANK, _UNKNOWN, _PUNCT = range(7)
+#: Bytes of text that are cut into tokens at once.
+_CHUNK = 1 << 20
 WORDS = ("VI_WORD", "FOREIGN_WORD", "UNKNOWN")
 IDENTITY_ONLY = ("NUMBER", "UNIT", "PUNCT", "SPACE", "NEWLINE", "PROTECTED")
 
@@ -23,12 +35,89 @@ def token_type(token: Column) -> Column:
     )
 
 
+@lru_cache
+def _class_runs() -> tuple[np.ndarray, np.ndarray]:
+    """(class, how many) of all code points in order, classes as indices of _TYPES; Vietnamese letters have
+    their own."""
+    table = np.full(0x110000, _PUNCT, np.uint8)
+    vietnamese = re.compile(T.VIETNAMESE)
+    for cp in range(0x110000):
+        c = chr(cp)
+        kind = unicodedata.category(c)
+        if c == "\n":
+            table[cp] = _NEWLINE
+        elif kind == "Nd":
+            table[cp] = _NUMBER
+        elif kind[0] == "L":
+            table[cp] = _VI if vietnamese.match(c) else _FOREIGN
+        elif kind[0] in "CZ":
+            table[cp] = _BLANK if c.isspace() else _UNKNOWN
+    table[[ord(c) for c in T.OTHER_DIGITS]] = _NUMBER
+    first = np.flatnonzero(np.r_[True, table[1:] != table[:-1]])
+    return table[first], np.diff(np.r_[first, len(table)])
+
+
+def _token_batches(batches: Iterator[pa.RecordBatch], key: str, words: bool, runs: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Tokens of batches (key, text), each a slice of the text's own bytes; with words, only word tokens,
+    with their island and place in it."""
+    table = np.repeat(*runs)
+    names = pa.array(_TYPES)
+    for batch in batches:
+        column = batch.column(1).cast(pa.large_string()).fill_null("")
+        size = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+        i = 0
+        while i < len(column):
+            j = max(i + 1, int(np.searchsorted(size, size[i] + _CHUNK, "right")) - 1)
+            cp, place, row, data = codepoints(column.slice(i, j - i))
+            vi = table[cp]
+            kind = np.where(vi == _VI, _FOREIGN, vi)
+            first = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (row[1:] != row[:-1])][: len(kind)])
+            own, kind = row[first], kind[first]
+            if len(first):
+                kind = np.where((kind == _FOREIGN) & (np.add.reduceat(vi == _VI, first) > 0), _VI, kind)
+            text = np.searchsorted(row, np.arange(j - i + 1))
+            start, end = first - text[own], np.r_[first[1:], len(cp)][: len(first)] - text[own]
+            head = np.searchsorted(own, np.arange(j - i))
+            index = np.arange(len(first)) - head[own]
+            offsets = np.r_[place[first], len(data)].astype(np.int32)
+            token = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            columns = [batch.column(0).take(pa.array(own + i)), pa.array(index.astype(np.int32)), token, names.take(pa.array(kind)), pa.array(start), pa.array(end)]
+            fields = [key, "tok_idx", "token", "token_type", "start", "end"]
+            if words:
+                word = np.isin(kind, (_VI, _FOREIGN, _UNKNOWN))
+                parted = np.cumsum(~word & (kind != _BLANK))
+                before = np.r_[0, parted][head] if len(first) else head
+                island = parted - before[own]
+                count = np.cumsum(word)
+                begin = np.r_[True, (island[1:] != island[:-1]) | (own[1:] != own[:-1])][: len(island)]
+                # words before the island, carried over it
+                earlier = np.maximum.accumulate(np.where(begin, count - word, 0))
+                columns += [pa.array(island), pa.array((count - earlier - 1).astype(np.int32))]
+                fields += ["island", "word_pos"]
+                yield pa.record_batch(columns, fields).filter(pa.array(word))
+            else:
+                yield pa.record_batch(columns, fields)
+            i = j
+
+
+def _tokens(docs: DataFrame, text: str, key: str, words: bool) -> DataFrame:
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, tok_idx int, token string, token_type string, start bigint, `end` bigint" + ", island bigint, word_pos int" * words
+    rows = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("text"))
+    runs = _class_runs()
+    return rows.mapInArrow(lambda batches: _token_batches(batches, key, words, runs), schema)
+
+
 def tokenize(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, tok_idx, token, token_type, start, end): maximal runs of one character class."""
-    own = Window.partitionBy(key).orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), 0)).alias("tok_idx", "token"))
-    end = F.sum(F.length("token")).over(own)
-    return rows.select(key, "tok_idx", "token", token_type(F.col("token")).alias("token_type"), (end - F.length("token")).alias("start"), end.alias("end"))
+    """(key, tok_idx, token, token_type, start, end): maximal runs of one character class.
+
+    A text's tokens and their places come from one pass over it, so nothing is shuffled or sorted."""
+    return _tokens(docs, text, key, False)
+
+
+def island_words(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """What islands(tokenize(docs)) gives, in the same pass."""
+    return _tokens(docs, text, key, True)
 
 
 def reconstruct(tokens: DataFrame, key: str = "doc_id", token: str = "token") -> DataFrame:
@@ -55,21 +144,25 @@ def word_spans(words: DataFrame, least: int = 2, most: int = 8, key: str = "doc_
     )
 
 
-def rebuild_phrase(original: Column, replacement: Column) -> Column:
-    """Words of replacement in the places of the words of the original token array, spaces kept."""
-    is_word = lambda t: t.rlike(r"(?U)\S")
-    return F.array_join(
-        F.transform(original, lambda t, i: F.when(is_word(t), F.coalesce(F.get(replacement, F.size(F.filter(F.slice(original, F.lit(1), i + 1), is_word)) - 1), t)).otherwise(t)), ""
-    )
+@F.pandas_udf(StringType())
+def rebuild_phrase(original: pd.Series, replacement: pd.Series) -> pd.Series:
+    """Words of replacement in the places of the words of the original token array, spaces kept; words
+    that have no replacement stay."""
+
+    def one(tokens, words) -> str:
+        rest = iter(words)
+        return "".join(t if t.isspace() or not t else next(rest, t) for t in tokens)
+
+    return pd.Series([None if t is None or w is None else one(t, w) for t, w in zip(original, replacement)], dtype="object")
 
 
 def windows(tokens: DataFrame, most: int = 5, key: str = "doc_id") -> DataFrame:
     """(key, win_id, start_tok, end_tok): half-open windows around ambiguous tokens, joined where they touch.
 
     tokens: key, tok_idx, n_candidates, protected."""
-    sizes = Window.partitionBy(key)
     half = most // 2
-    rows = tokens.withColumn("n", F.max("tok_idx").over(sizes) + 1).where("n_candidates > 1 and not protected")
+    sizes = tokens.groupBy(key).agg((F.max("tok_idx") + 1).alias("n"))
+    rows = tokens.where("n_candidates > 1 and not protected").select(key, "tok_idx").join(sizes, key)
     a = F.greatest(F.col("tok_idx") - half, F.lit(0))
     rows = rows.select(key, a.alias("a"), F.least(F.col("tok_idx") + half + 1, F.col("n"), a + most).alias("b"))
     own = Window.partitionBy(key).orderBy("a", "b")

@@ -14,7 +14,7 @@ def error_rate(distance: Column, length: Column) -> Column:
 
 
 def cer(output: Column, expected: Column) -> Column:
-    return error_rate(F.levenshtein(output, expected), F.length(expected))
+    return error_rate(T.char_distance(output, expected), F.length(expected))
 
 
 def wer(output: Column, expected: Column) -> Column:

@@ -15,7 +15,8 @@ from ..functions import text as T
 
 
 def line_source(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text): one document per line that is not blank, of text files that arrive in path."""
+    """(doc_id, text): one document per line that is not blank, of text files that arrive in path.  Equal
+    lines have equal doc_ids, and are documents of their own all the same."""
     rows = spark.readStream.text(path).where(F.trim("value") != "")
     return rows.select(F.xxhash64("value").alias("doc_id"), F.col("value").alias("text"))
 

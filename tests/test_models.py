@@ -113,3 +113,56 @@ def test_short_documents_of_any_id_are_corrected(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.queries()["correct_documents"](spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == {1, 199, 200, 5000, 10**12} and all(r.status == "ok" for r in got)
+
+
+def test_distance_equals_the_matrix():
+    from emenda.functions.chars import distance
+
+    def matrix(x, y):
+        row = list(range(len(y) + 1))
+        for i, u in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, v in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (u != v))
+        return row[-1]
+
+    r = random.Random(5)
+    for _ in range(300):
+        x, y = ("".join(r.choice("abc") for _ in range(r.randrange(90))) for _ in range(2))
+        assert distance(x, y) == matrix(x, y) == distance(list(y), list(x))
+    assert distance("", "") == 0 and distance("", "ab") == 2 and distance("x" * 30_000, "y" + "x" * 30_000 + "z") == 2
+
+
+def test_tokens_of_odd_texts(spark):
+    from emenda.operators import tokens as K
+
+    texts = ["", None, "a", "é1\n\n  x  y", "日本語𐐨😀!?", "½²3٣", "​­" * 3, "w " * 30_000, "đa-bc"]
+    df = spark.createDataFrame([(f"k{i}", t, 1) for i, t in enumerate(texts)], "id string, text string, tok_idx int")
+    rows = K.tokenize(df, key="id").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.id, []).append(r)
+    assert {f"k{i}" for i, t in enumerate(texts) if t} == set(by)
+    for i, t in enumerate(texts):
+        if t:
+            own = sorted(by[f"k{i}"], key=lambda r: r.tok_idx)
+            assert [r.tok_idx for r in own] == list(range(len(own))) and "".join(r.token for r in own) == t
+            assert all(t[r.start : r.end] == r.token for r in own)
+    assert [(r.token, r.token_type) for r in by["k3"]] == [("é", "VI_WORD"), ("1", "NUMBER"), ("\n\n", "NEWLINE"), ("  ", "SPACE"), ("x", "FOREIGN_WORD"), ("  ", "SPACE"), ("y", "FOREIGN_WORD")]
+    assert [r.token_type for r in by["k4"]] == ["FOREIGN_WORD", "PUNCT"] and [r.token_type for r in by["k5"]] == ["PUNCT", "NUMBER"] and [r.token_type for r in by["k6"]] == ["UNKNOWN"]
+    key = lambda r: (r.id, r.tok_idx)
+    a = sorted(K.islands(K.tokenize(df, key="id"), key="id").select("id", "tok_idx", "token", "island", "word_pos").collect(), key=key)
+    b = sorted(K.island_words(df, key="id").select("id", "tok_idx", "token", "island", "word_pos").collect(), key=key)
+    assert a == b
+    assert "Exchange" not in K.tokenize(df, key="id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_and_null_ids_are_documents_of_their_own(spark):
+    from emenda.catalog import correction
+    from emenda.plans import correct as P
+
+    rows = [(1, "so muong gat ngang"), (1, "MOI QUAN HE."), (None, "so muong gat ngang"), (1, "so muong gat ngang"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.text, r.corrected, r.status) for r in P.correct(df, correction.fixture_resources(spark)).collect()), key=str)
+    good = "số muỗng gạt ngang"
+    assert got == sorted([(1, "so muong gat ngang", good, "ok")] * 2 + [(1, "MOI QUAN HE.", "MỐI QUAN HỆ.", "ok"), (None, "so muong gat ngang", good, "ok"), (None, None, None, "no_text")], key=str)
