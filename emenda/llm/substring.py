@@ -7,8 +7,8 @@ in every document that holds it, wherever it begins.
 
 Paragraphs are sets of word pairs.  Bands of 4 MinHash values are tuned for recall: as many as it takes
 for two paragraphs that just reach the threshold to collide with a probability of 0.95.  A Jaccard
-similarity of 0.8 means 21 of 23 pairs, so 0.84, which is what one edited word leaves; that gives 5 bands
-and a probability of 0.968.  Paragraphs that collide in a band form a star around the first of them;
+similarity of 0.7 means 19 of 23 pairs, which is what two edited words leave; that gives 11 bands and a
+probability of 0.955, and of 0.9995 for one edited word.  Paragraphs that collide in a band form a star around the first of them;
 pairs within one document do not count.  The first of a star is compared with all others by exact
 Jaccard, then the first of those that it isn't similar to with all others, and so on.  Similar
 paragraphs, and equal ones, are clustered by connected components, and all of a cluster goes but what
@@ -46,7 +46,7 @@ PARAGRAPH = 24
 WINNOW = 26
 ROWS = 4
 RECALL = 0.95
-THRESHOLD = 0.8
+THRESHOLD = 0.7
 #: Words that are followed beyond a paragraph; words of the shortest stretch; equal words after an edit.
 CONTEXT = 48
 SHORTEST = 20
