@@ -1,7 +1,8 @@
 """Benchmark decontamination with SimHash over item-sized windows.
 
-A benchmark item of s words is compared with every window of s words of every document.  Items and
-windows are weighted multisets of word pairs; a pair weighs as much as it has letters.
+A benchmark item of s words is compared with every window of s words of every document, and with the
+whole text of a document that has fewer words.  Items and windows are weighted multisets of word pairs; a
+pair weighs as much as it has letters.
 
 * *Fingerprints.*  64-bit SimHash of the weighted pairs.  Windows take theirs from running sums.
 * *Search.*  Fingerprints are cut into radius + 1 blocks; two within the radius agree in at least
@@ -13,11 +14,14 @@ threshold times as much as the lightest item of its size, so windows that don't
 fingerprinted; that loses nothing.  SimHash is approximate: at a similarity of 0.7 a fingerprint lies
 within the radius with a probability of about 0.93, at 0.8 of 0.99, and equal texts always do.
 
-The benchmark is read in parts of at most ``part_items`` items, each sent to all executors in its
-turn, so what is broadcast is bounded whatever the benchmark's size.
+The benchmark is read in parts of about ``part_items`` items, each sent to all executors in its turn,
+so what is broadcast at once is bounded whatever the benchmark's size; the documents are scanned once for
+each part, so a benchmark of up to 100,000 items takes one scan.
 
-Defined cases: documents with a null doc_id or a null text, and items with a null item_id, a null
-text or fewer than 5 words, take no part.  Repeated item rows count once.  For every document and
+Defined cases: documents with a null doc_id or a null text, and items with a null item_id, a null text
+or no word, take no part.  Items of fewer than ``min_words`` words are too short for a similarity and
+count where a document has them exactly; an item of one word is met by a document of that word alone.
+Repeated item rows count once.  For every document and
 item, the most similar window is given, of equals the first.  Other columns, of whatever name, are
 ignored.  Empty tables give no rows.  Texts are read whole.
 """
@@ -32,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import passed
 from .textvec import Words, char_offsets, words
 
 RADIUS = 17
 THRESHOLD = 0.7
 MIN_WORDS = 5
-PART_ITEMS = 20_000
+PART_ITEMS = 100_000
 
 _TABLE = 1 << 20
 
@@ -77,18 +82,19 @@ def similarity(a: np.ndarray, aw: np.ndarray, b: np.ndarray, bw: np.ndarray) ->
 class Index:
     """Items by size, with the blocks of their fingerprints."""
 
-    def __init__(self, ids: list[int], texts: list[str], radius: int, threshold: float):
-        self.radius, self.threshold = radius, threshold
-        self.ids, self.pairs, self.weights, self.sizes = [], [], [], []
+    def __init__(self, ids: list[int], texts: list[str], radius: int, threshold: float, min_words: int = MIN_WORDS):
+        self.radius = radius
+        self.ids, self.pairs, self.weights, self.sizes, self.thresholds = [], [], [], [], []
         prints = []
         for w in words(pa.array(texts, pa.string())):
             s, b = w.shingles(2)
             weight = pair_weights(w, b)
             for i in range(len(b) - 1):
                 size = int(w.bounds[i + 1] - w.bounds[i])
-                if size >= MIN_WORDS:
+                if size:
                     p, v = s[b[i] : b[i + 1]], weight[b[i] : b[i + 1]]
                     self.ids.append(ids[w.first + i])
+                    self.thresholds.append(threshold if size >= min_words else 1.0)
                     self.pairs.append(p)
                     self.weights.append(v)
                     self.sizes.append(size)
@@ -99,15 +105,17 @@ class Index:
         self.table[(self.known & np.uint64(_TABLE - 1)).astype(np.int64)] = True
         cuts = np.round(np.linspace(0, 64, radius + 2)).astype(int)
         self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:])]
+        # by the number of pairs of an item
         self.by_size: dict[int, dict] = {}
-        for size in sorted(set(self.sizes)):
-            items = np.flatnonzero(np.array(self.sizes) == size)
+        length = np.array([len(p) for p in self.pairs], np.int64)
+        for size in np.unique(length).tolist():
+            items = np.flatnonzero(length == size)
             lists = []
             for shift, mask in self.blocks:
                 value = self.prints[items] >> shift & mask
                 order = np.argsort(value, kind="stable")
                 lists.append((value[order], items[order]))
-            self.by_size[size] = {"least": min(int(self.weights[i].sum()) for i in items), "lists": lists}
+            self.by_size[size] = {"least": min(self.thresholds[i] * int(self.weights[i].sum()) for i in items) - 1e-9, "lists": lists}
         # sizes that differ by a quarter at most are looked for together at first
         self.bands: list[list[int]] = []
         for size in self.by_size:
@@ -152,10 +160,10 @@ class Index:
             np.cumsum(np.where(hit, weight, 0), out=matched[1:])
             chars = None
             for t, found in self._best(s, weight, matched, b).items():
-                for item, (sim, first, distance) in found.items():
+                for item, (sim, first, pairs, distance) in found.items():
                     chars = char_offsets(w.data) if chars is None else chars
                     a = w.bounds[t] + first - b[t]
-                    z = a + self.sizes[item] - 1
+                    z = min(a + pairs, w.bounds[t + 1] - 1)
                     base = chars[w.offsets[t]]
                     yield w.first + t, self.ids[item], int(chars[w.start[a]] - base), int(chars[w.end[z]] - base), distance, sim
 
@@ -163,39 +171,50 @@ class Index:
         """(size, first pairs) of the windows whose known pairs weigh enough."""
         last = len(matched) - 1
         for band in self.bands:
-            n = band[-1] - 1
-            least = self.threshold * min(self.by_size[size]["least"] for size in band) - 1e-9
+            n = band[-1]
+            least = min(self.by_size[size]["least"] for size in band)
             ahead = np.concatenate([matched[n:], np.full(min(n, last + 1), matched[-1])])[: last + 1]
             near = np.flatnonzero(ahead - matched >= least)
             if not len(near):
                 continue
             end = b[np.searchsorted(b, near, "right").clip(max=len(b) - 1)]
             for size in band:
-                fits = near[near + size - 1 <= end]
-                first = fits[matched[fits + size - 1] - matched[fits] >= self.threshold * self.by_size[size]["least"] - 1e-9]
+                fits = near[near + size <= end]
+                first = fits[matched[fits + size] - matched[fits] >= self.by_size[size]["least"]]
                 if len(first):
                     yield size, first
 
-    def _best(self, pairs: np.ndarray, weight: np.ndarray, matched: np.ndarray, b: np.ndarray) -> dict[int, dict[int, tuple[float, int, int]]]:
-        best: dict[int, dict[int, tuple[float, int, int]]] = {}
+    def _best(self, pairs: np.ndarray, weight: np.ndarray, matched: np.ndarray, b: np.ndarray) -> dict[int, dict[int, tuple[float, int, int, int]]]:
+        best: dict[int, dict[int, tuple[float, int, int, int]]] = {}
+
+        def verify(text: int, f: int, n: int, item: int, distance: int) -> None:
+            found = best.setdefault(text, {})
+            sim = similarity(pairs[f : f + n], weight[f : f + n], self.pairs[item], self.weights[item])
+            if sim >= self.thresholds[item] - 1e-12 and (item not in found or sim > found[item][0]):
+                found[item] = (sim, f, n, distance)
+
         for size, first in self._windows(matched, b):
-            n = size - 1
             # regions of neighbouring windows, so that sums are made where they are needed
             cuts = np.unique(np.r_[np.flatnonzero(np.r_[True, np.diff(first) > size, True]), np.arange(0, len(first), 4096)])
             prints = []
             for a, z in zip(cuts[:-1], cuts[1:]):
-                base, end = first[a], first[z - 1] + n
-                prints.append(fingerprints(running_sums(pairs[base:end], weight[base:end]), first[a:z] - base, n))
+                base, end = first[a], first[z - 1] + size
+                prints.append(fingerprints(running_sums(pairs[base:end], weight[base:end]), first[a:z] - base, size))
             text = np.searchsorted(b, first, "right") - 1
             for win, item, distance in zip(*(x.tolist() for x in self.candidates(size, np.concatenate(prints)))):
-                f, found = int(first[win]), best.setdefault(int(text[win]), {})
-                sim = similarity(pairs[f : f + n], weight[f : f + n], self.pairs[item], self.weights[item])
-                if sim >= self.threshold - 1e-12 and (item not in found or sim > found[item][0]):
-                    found[item] = (sim, f, int(distance))
+                verify(int(text[win]), int(first[win]), size, item, distance)
+        # texts that are shorter than an item are one window
+        length, known = np.diff(b), matched[b[1:]] - matched[b[:-1]]
+        for size, found in self.by_size.items():
+            short = np.flatnonzero((length > 0) & (length < size) & (known >= found["least"]))
+            prints = [fingerprints(running_sums(pairs[b[t] : b[t + 1]], weight[b[t] : b[t + 1]]), np.zeros(1, np.int64), int(length[t]))[0] for t in short.tolist()]
+            if prints:
+                for win, item, distance in zip(*(x.tolist() for x in self.candidates(size, np.array(prints, np.uint64)))):
+                    verify(int(short[win]), int(b[short[win]]), int(length[short[win]]), item, distance)
         return best
 
 
-def indexes(benchmark: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD, part_items: int = PART_ITEMS) -> Iterator[Index]:
+def indexes(benchmark: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD, part_items: int = PART_ITEMS, min_words: int = MIN_WORDS) -> Iterator[Index]:
     """Indexes of the benchmark in parts of about part_items items."""
     items = (
         benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -204,10 +223,10 @@ def indexes(benchmark: DataFrame, radius: int = RADIUS, threshold: float = THRES
     parts = -(-items.count() // part_items)
     for k in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        yield Index([r.item_id for r in rows], [r.text for r in rows], radius, threshold)
+        yield Index([r.item_id for r in rows], [r.text for r in rows], radius, threshold, min_words)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, start, end, distance, similarity) of every document and item that it
     holds: the characters of the best window, the distance of the fingerprints, the similarity."""
     spark = docs.sparkSession
@@ -229,11 +248,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, th
 
         return texts.mapInArrow(search, schema)
 
-    found = [part(i) for i in indexes(benchmark, radius, threshold)]
+    found = [part(i) for i in indexes(benchmark, radius, threshold, min_words=min_words)]
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs that hold no item, with all their columns; rows with a null text stay."""
     spark = docs.sparkSession
     at = docs.columns.index("text")
@@ -247,6 +266,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold
                 good[[r[0] for r in shared.value.search(batch.column(at).cast(pa.string()))]] = False
                 yield batch.filter(pa.array(good))
 
-        return rows.mapInArrow(keep, rows.schema)
+        return passed(rows, keep)
 
-    return reduce(part, indexes(benchmark, radius, threshold), docs)
+    return reduce(part, indexes(benchmark, radius, threshold, min_words=min_words), docs)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import Packer, part_of, partitions, release, unpack, written
+from .runtime import Packer, discard, part_of, partitions, release, unpack, written
 from .textvec import mix, words
 
 NGRAM = 3
@@ -196,9 +196,8 @@ def star_table(packed: DataFrame, dtype: np.dtype, t: float, shared: int = 1, di
     return written(edges.where("seen >= need").select("hub", "member", "star"), "stars")
 
 
-def needed_stars(edges: DataFrame, pairs: bool = True) -> DataFrame:
-    """(member, hubs) of as few stars as hold all pairs that edges stand for; without pairs, all edges
-    are those of long lists.
+def needed_stars(edges: DataFrame) -> DataFrame:
+    """(member, hubs) of as few stars as hold all pairs that edges stand for.
 
     The stars of roots, which are no other centre's member, stay.  The edge of a pair goes if the
     least centre of either end is a root with both in its star; the star of a long list goes if
@@ -210,10 +209,7 @@ def needed_stars(edges: DataFrame, pairs: bool = True) -> DataFrame:
     rest = rest.join(least.select(F.col("member").alias("hub"), F.col("least").alias("p")), "hub")
     one = roots.select(F.col("hub").alias("p"), "member", F.lit(True).alias("one"))
     two = roots.select(F.col("hub").alias("q"), F.col("member").alias("hub"), F.lit(True).alias("two"))
-    if pairs:
-        rest = rest.join(least.withColumnRenamed("least", "q"), "member").join(two, ["q", "hub"], "left")
-    else:
-        rest = rest.withColumn("two", F.lit(None).cast("boolean"))
+    rest = rest.join(least.withColumnRenamed("least", "q"), "member").join(two, ["q", "hub"], "left")
     rest = rest.join(one, ["p", "member"], "left").select("hub", "member", "star", "one", "two")
     bare = rest.where("star = 1").groupBy("hub").agg(F.count(F.when(F.col("one").isNull(), 1)).alias("missing")).where("missing > 0").select("hub", F.lit(True).alias("bare"))
     rest = rest.join(bare, "hub", "left").where("(star = 1 and bare) or (star = 0 and one is null and two is null)").select("hub", "member")
@@ -311,7 +307,7 @@ def verified_pairs(texts: DataFrame, homes: DataFrame, stars_of: DataFrame, elem
     hubs); elements(column, members) gives (row, member, its sorted elements) for what the texts of a
     column hold, of those members at least.
     With spanning, only enough pairs to connect each star's similar members are given."""
-    parts = 4 * partitions(texts.sparkSession)
+    parts = 4 * partitions(texts.sparkSession, texts)
     wanted = homes.join(stars_of, "member").groupBy("doc_id").agg(F.collect_list(F.struct("member", "hubs")).alias("wanted"))
 
     def spread(batches):
@@ -388,14 +384,15 @@ def _spanning(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray,
     return a[keep], b[keep], s[keep]
 
 
-def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, spanning: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): the written (doc_id, set_id) of all documents, and (a, b, jaccard) of all
-    pairs of distinct sets that reach the threshold (or enough of them, with spanning)."""
+def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, spanning: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, pairs, edges): the written (doc_id, set_id) of all documents, (a, b, jaccard) of all
+    pairs of distinct sets that reach the threshold (or enough of them, with spanning), and the written
+    table that pairs are read from."""
     spark = docs.sparkSession
     table = document_sets(docs, n)
     members = table.where("set_id is not null").select("doc_id", "set_id").distinct()
     ranks = spark.sparkContext.broadcast(_ranks(_frequencies(table)))
-    parts = partitions(spark)
+    parts = partitions(spark, docs)
 
     def prefixes(batches):
         pack = Packer(parts, _POSTING)
@@ -410,14 +407,13 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
         release()
 
     edges = star_table(_usable(docs).select("text").mapInArrow(prefixes, "part int, blob binary"), _POSTING, threshold, _SHARED)
-    hubs = needed_stars(edges)
 
     def elements(column, _):
         for row, x in _sets(column, n):
             yield row, _set_id(x), x
 
     homes = members.groupBy(F.col("set_id").alias("member")).agg(F.min("doc_id").alias("doc_id"))
-    return members, verified_pairs(_usable(docs), homes, needed_stars(edges), elements, threshold, spanning)
+    return members, verified_pairs(_usable(docs), homes, needed_stars(edges), elements, threshold, spanning), edges
 
 
 def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
@@ -426,7 +422,7 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     Documents with equal sets are linked to the least doc_id among them, with equal_sets true;
     pairs of distinct sets are given once, between the least doc_ids that have them.  The pairs of
     documents are those rows, with every document in the place of the one it is linked to."""
-    members, pairs = similar_sets(docs, n, threshold)
+    members, pairs, _ = similar_sets(docs, n, threshold)
     first = members.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     copies = (
         members.join(first, "set_id").where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("equal_sets"))
@@ -443,8 +439,9 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
 def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kept_id) of every document that is not the least doc_id of its group: groups are
     the connected components of the similar pairs."""
-    members, pairs = similar_sets(docs, n, threshold, spanning=True)
+    members, pairs, edges = similar_sets(docs, n, threshold, spanning=True)
     root = components(pairs.select("a", "b"), "groups").select(F.col("node").alias("set_id"), "root")
+    discard(edges)
     grouped = members.join(root, "set_id", "left").select("doc_id", F.coalesce("root", "set_id").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("doc_id").alias("kept_id"))
     out = grouped.join(kept, "root").where("doc_id <> kept_id")

@@ -7,6 +7,9 @@ the bundle of its sample's.  Texts are compared with the languages by cosine.
 Prototypes are fitted on a bounded sample of labelled rows: of every language ``sample`` documents
 or a few more, chosen by a hash of doc_id among all documents.
 
+A text is accepted if its best cosine reaches ``min_similarity``, or as much less as the root of its
+trigrams in 40 is less than one: short texts hold too few trigrams of a language to come near it.
+
 Defined cases: a null or empty text, or one without a letter trigram, has similarity 0, no language
 and is not accepted.  Digits, punctuation and white space all count as one space.  Rows are answered
 one by one, so ties, repeated rows and null doc_ids are kept as they are; of equally similar languages
@@ -23,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import release
+from .runtime import passed, release
 from .textvec import string_buffers
 
 DIMENSIONS = 1024
 SAMPLE = 400
 #: Cosines of unrelated vectors of 1,024 dimensions spread by 1 / 32; this is over three times that.
 MIN_SIMILARITY = 0.1
+#: Trigrams from which on all of it is asked for.
+ENOUGH = 40
 
 _LETTERS = 256
 _CHUNK = 1 << 18
@@ -37,10 +42,10 @@ _ROWS = 128
 
 
 def _letters() -> np.ndarray:
-    """Symbol of every code point of the basic plane: 0 for what is no letter, ASCII letters
+    """Symbol of every code point of the planes that have letters: 0 for what is no letter, ASCII letters
     their own, and the others in lower case, a hash of the code point."""
-    table = np.zeros(1 << 16, np.uint8)
-    for cp in (*range(0xD800), *range(0xE000, 1 << 16)):
+    table = np.zeros(1 << 18, np.uint8)
+    for cp in (*range(0xD800), *range(0xE000, 1 << 18)):
         c = chr(cp)
         if c.isalpha():
             low = ord(c.lower()[0])
@@ -70,8 +75,7 @@ def _chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _symbols(data: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of UTF-8 bytes, and the byte at which each begins; characters beyond the basic
-    plane are no letters."""
+    """Symbols of UTF-8 bytes, and the byte at which each begins."""
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     b = data[lead].astype(np.uint32)
     follow = np.concatenate([data, np.zeros(3, np.uint8)])
@@ -81,12 +85,13 @@ def _symbols(data: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndar
     cp[two] = (b[two] & 0x1F) << 6 | follow[i + 1] & 0x3F
     i = lead[three]
     cp[three] = (b[three] & 0x0F) << 12 | (follow[i + 1] & 0x3F).astype(np.uint32) << 6 | follow[i + 2] & 0x3F
-    cp[four] = 0
-    return letters[cp], lead
+    i = lead[four]
+    cp[four] = (b[four] & 0x07) << 18 | (follow[i + 1] & 0x3F).astype(np.uint32) << 12 | (follow[i + 2] & 0x3F).astype(np.uint32) << 6 | follow[i + 3] & 0x3F
+    return np.where(cp < len(letters), letters[np.minimum(cp, len(letters) - 1)], 0), lead
 
 
-def bundles(column: pa.Array, dimensions: int = DIMENSIONS) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, one bundle per row) for ranges of rows."""
+def bundles(column: pa.Array, dimensions: int = DIMENSIONS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, one bundle per row, number of trigrams per row) for ranges of rows."""
     letters, vectors = _tables(dimensions)
     data, offsets = string_buffers(column)
     mark = np.zeros(_LETTERS**3, np.int32)
@@ -114,7 +119,7 @@ def bundles(column: pa.Array, dimensions: int = DIMENSIONS) -> Iterator[tuple[in
                 a, b, d = c // _LETTERS**2, c // _LETTERS % _LETTERS, c % _LETTERS
                 bound = np.roll(vectors, 2, 1)[a] * np.roll(vectors, 1, 1)[b] * vectors[d]
                 out += count[:, k : k + 4096] @ bound.astype(np.float32)
-        yield i, out
+        yield i, out, np.bincount(row, minlength=j - i)
 
 
 def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
@@ -133,7 +138,7 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, dimensions:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             labels = batch.column("label").to_pylist()
-            for first, rows in bundles(batch.column("text"), dimensions):
+            for first, rows, _ in bundles(batch.column("text"), dimensions):
                 for k, v in enumerate(rows):
                     # every text counts alike, whatever its length
                     norm = float(np.linalg.norm(v))
@@ -155,24 +160,25 @@ def _classify(docs: DataFrame, carried: list[str], names: list[str], proto: np.n
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(proto)
     dimensions = proto.shape[1]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    text = carried.index("text")
+    kept = docs.columns if not rejected else carried
+    text = kept.index("text")
 
     def answer(batches):
         for batch in batches:
             column = batch.column(text)
             n = len(column)
-            best, score, margin = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            for first, rows in bundles(column, dimensions):
+            best, score, margin, least = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
+            for first, rows, trigrams in bundles(column, dimensions):
                 norm = np.linalg.norm(rows, axis=1)
                 cos = (rows @ shared.value.T).astype(np.float64) / np.where(norm, norm, 1)[:, None]
                 s = slice(first, first + len(rows))
+                least[s] = min_similarity * np.sqrt(np.minimum(trigrams / ENOUGH, 1))
                 if cos.shape[1]:
                     best[s] = cos.argmax(1)
                     score[s] = cos.max(1)
                     margin[s] = score[s] - (np.partition(cos, -2, 1)[:, -2] if cos.shape[1] > 1 else 0)
             known = score > 0
-            accepted = known & (score >= min_similarity)
+            accepted = known & (score >= least)
             if rejected:
                 name = pa.array([names[b] if k else None for b, k in zip(best, known)], pa.string())
                 cols = [batch.column(i) for i in range(len(carried)) if i != text]
@@ -186,7 +192,8 @@ def _classify(docs: DataFrame, carried: list[str], names: list[str], proto: np.n
 
     if rejected:
         schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried if c != "text") + ", language string, similarity double, margin double, accepted boolean"
-    return docs.select(*carried).mapInArrow(answer, schema)
+        return docs.mapInArrow(answer, schema)
+    return passed(docs, answer)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], min_similarity: float = MIN_SIMILARITY) -> DataFrame:

@@ -7,7 +7,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +65,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def passed(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """df through a function of Arrow batches that keeps its columns, whatever their names: inside they
+    are c0, c1, ..."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(batches, plain.schema).toDF(*df.columns)
+
+
 def release() -> None:
     """Gives freed memory back to the system: workers are used again by the next stage."""
     pa.default_memory_pool().release_unused()

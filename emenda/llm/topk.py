@@ -14,8 +14,8 @@ Partial scores may be negative: the cutoff comes from whole scores, and the pige
 phase 2 needs no sign.  Vectors travel in cells of at most about ``block_rows`` queries and as many
 vectors, so memory doesn't grow with the table, and only survivors of phase 3 leave a cell.
 
-Defined cases: rows with a null vec_id, a null vector, or a null or not finite element take no part,
-nor do vectors whose length is not the most frequent one (of equally frequent, the longest).
+Defined cases: rows with a null vec_id, a null or empty vector, or a null or not finite element take no
+part.  Vectors of different lengths have no score: each is compared with those of its own length.
 Repeated rows count once.  A vector is no neighbour of its own vec_id.  Equal scores, as rounded to
 nine places, are ranked by vec_id.  With fewer than k others, all are given.  An empty table gives
 no rows.  Other columns, of whatever name, are ignored.
@@ -89,19 +89,15 @@ def top_k(vectors: DataFrame, k: int = K, blocks: int = BLOCKS, block_rows: int
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(
         "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('infinity'))"
     ).distinct()
-    sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    schema = "query_id bigint, vec_id bigint, score double, rank int"
-    if sizes is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    cells = -(-sizes["count"] // block_rows)
-    rows = rows.where(F.size("embedding") == sizes.d).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("cells"))
+    rows = rows.withColumn("d", F.size("embedding")).join(sizes, "d").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("cells")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
 
     def spread(queries: DataFrame) -> DataFrame:
         """Queries and vectors, each in every cell that it belongs to."""
-        a = queries.select(F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("query"), "vec_id", "embedding", "cutoff")
-        b = rows.select(every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("query"), "vec_id", "embedding", F.lit(0.0).alias("cutoff"))
-        return a.union(b).groupBy("i", "j")
+        a = queries.select("d", F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("query"), "vec_id", "embedding", "cutoff")
+        b = rows.select("d", every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("query"), "vec_id", "embedding", F.lit(0.0).alias("cutoff"))
+        return a.union(b).groupBy("d", "i", "j")
 
     def split(group: pa.Table) -> tuple[np.ndarray, ...]:
         query = group.column("query").to_numpy()
@@ -111,20 +107,20 @@ def top_k(vectors: DataFrame, k: int = K, blocks: int = BLOCKS, block_rows: int
     def first(group: pa.Table) -> pa.Table:
         q, qid, _, x, xid = split(group)
         best = local_best(q, qid, x, xid, k, blocks) if len(q) and len(x) else [np.zeros(0)] * len(q)
-        return pa.table({"vec_id": qid, "scores": pa.array(best, pa.list_(pa.float64()))})
+        return pa.table({"d": group.column("d")[: len(qid)], "vec_id": qid, "scores": pa.array(best, pa.list_(pa.float64()))})
 
     def rest(group: pa.Table) -> pa.Table:
         q, qid, cutoff, x, xid = split(group)
         found = survivors(q, qid, cutoff, x, xid, blocks) if len(q) and len(x) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
 
-    led = spread(rows.withColumn("cutoff", F.lit(0.0))).applyInArrow(first, "vec_id bigint, scores array<double>")
+    led = spread(rows.withColumn("cutoff", F.lit(0.0))).applyInArrow(first, "d int, vec_id bigint, scores array<double>")
     best = F.sort_array(F.flatten(F.collect_list("scores")), asc=False)
     # a vec_id that has several vectors is answered from the best of them: the least cutoff is safe
-    cutoffs = led.groupBy("vec_id").agg(best.alias("best")).select("vec_id", F.when(F.size("best") >= k, F.get("best", F.lit(k - 1))).otherwise(-1e30).alias("cutoff"))
-    several = rows.groupBy("vec_id").count().where("count > 1").select("vec_id", F.lit(-1e30).alias("none"))
-    cutoffs = cutoffs.join(several, "vec_id", "left").select("vec_id", F.coalesce("none", "cutoff").alias("cutoff"))
-    found = spread(rows.join(cutoffs, "vec_id")).applyInArrow(rest, "query_id bigint, vec_id bigint, score double")
+    cutoffs = led.groupBy("d", "vec_id").agg(best.alias("best")).select("d", "vec_id", F.when(F.size("best") >= k, F.get("best", F.lit(k - 1))).otherwise(-1e30).alias("cutoff"))
+    several = rows.groupBy("d", "vec_id").count().where("count > 1").select("d", "vec_id", F.lit(-1e30).alias("none"))
+    cutoffs = cutoffs.join(several, ["d", "vec_id"], "left").select("d", "vec_id", F.coalesce("none", "cutoff").alias("cutoff"))
+    found = spread(rows.join(cutoffs, ["d", "vec_id"])).applyInArrow(rest, "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.round(F.max("score"), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")

@@ -44,7 +44,8 @@ WORDS = {
     "report": "said says say called calls wrote writes claimed claims quoted reported alleged dit sagte dijo",
 }
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]|[.!?;:,\n]+")
-_END = frozenset(".!?;:,\n")
+#: What ends a clause: not a comma, after which the one that is meant may be named, or what is said quoted.
+_END = frozenset(".!?;:\n")
 SYMBOLS = ("insult", "threat", "will", "target", "not", "report", "quote", "other")
 
 

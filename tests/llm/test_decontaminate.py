@@ -14,7 +14,7 @@ def similarity(a, b):
 
     def bag(w):
         out = {}
-        for x, y in zip(w, w[1:]):
+        for x, y in zip(w, w[1:]) if len(w) > 1 else [(w[0], "")]:
             out[x, y] = out.get((x, y), 0) + len(x.encode()) + len(y.encode())
         return out
 
@@ -29,7 +29,8 @@ def brute(rows, items):
         w = words(t or "")
         for j, x in items:
             v = words(x)
-            if any(similarity(w[k : k + len(v)], v) >= D.THRESHOLD for k in range(len(w) - len(v) + 1)):
+            least = D.THRESHOLD if len(v) >= D.MIN_WORDS else 1
+            if w and v and any(similarity(w[k : k + len(v)], v) >= least - 1e-12 for k in range(max(len(w) - len(v), 0) + 1)):
                 out.add((i, j))
     return out
 
@@ -65,18 +66,32 @@ def test_recall_against_brute_force(spark, docs):
     assert clean == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def test_short_texts_and_short_items(spark, docs):
+    """Texts of fewer words than an item are compared whole, items of few words are met exactly."""
+    items = [(j, prose(n, 600 + j, 100_000)) for j, n in enumerate([1, 2, 3, 4, 5, 8, 20, 40, 59])]
+    rows = []
+    for j, x in items:
+        w = x.split()
+        rows += [(20 * j + k, " ".join(w[: max(len(w) - k, 1)])) for k in range(9)]
+        rows += [(20 * j + 10, f"{prose(30, j)} {x} {prose(30, 50 + j)}"), (20 * j + 11, f"{prose(9, j)} {' '.join(w[: len(w) // 2])} zzz {' '.join(w[len(w) // 2 + 1 :])}"), (20 * j + 12, " ".join(w[2:-2]))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got, want = {(r.doc_id, r.item_id) for r in D.contaminated(docs(rows), bench).collect()}, brute(rows, items)
+    assert got <= want and len(got) >= 0.9 * len(want)
+    assert {(20 * j, j) for j in range(9)} <= got and {(20 * j + 10, j) for j in range(1, 9)} <= got and (10, 0) not in got
+
+
 def test_blocks_miss_nothing_within_the_radius():
     r = np.random.default_rng(2)
     index = D.Index(list(range(40)), [prose(20, j) for j in range(40)], D.RADIUS, D.THRESHOLD)
     near = index.prints ^ np.array([sum(1 << int(b) for b in r.choice(64, r.integers(0, D.RADIUS + 4), replace=False)) for _ in range(40)], np.uint64)
-    win, item, distance = index.candidates(20, near)
+    win, item, distance = index.candidates(19, near)
     want = {(w, i) for w in range(40) for i in range(40) if bin(int(near[w] ^ index.prints[i])).count("1") <= D.RADIUS}
     assert set(zip(win.tolist(), item.tolist())) == want and len(distance) == len(want)
 
 
 def test_odd_rows(spark, docs):
     item = prose(20, 7)
-    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (None, item), (3, ""), (4, "too short")], "item_id bigint, text string")
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (None, item), (3, ""), (4, "zu kurz"), (5, "...")], "item_id bigint, text string")
     rows = [(None, item), (1, None), (2, ""), (3, item), (3, item), (4, item * 2), (5, prose(30_000, 1) + " " + item)]
     assert {(r.doc_id, r.item_id) for r in D.contaminated(docs(rows), bench).collect()} == {(3, 1), (4, 1), (5, 1)}
     assert sorted(r.doc_id for r in D.clean(docs(rows[1:3]), bench).collect()) == [1, 2]

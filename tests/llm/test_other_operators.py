@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from emenda.llm import html, langid, licenses, packing, topk, toxicity, warc
+from emenda.llm import decontaminate, html, langid, licenses, packing, substring, topk, toxicity, warc
 
 from .conftest import prose
 
@@ -21,7 +21,7 @@ def reference_bundle(text, dimensions):
     letters, vectors = langid._tables(dimensions)
     sym = []
     for c in text:
-        s = int(letters[ord(c)]) if ord(c) < 1 << 16 else 0
+        s = int(letters[ord(c)]) if ord(c) < len(letters) else 0
         if s or not sym or sym[-1]:
             sym.append(s)
     out = np.zeros(dimensions)
@@ -32,8 +32,8 @@ def reference_bundle(text, dimensions):
 
 
 def test_bundles_by_definition():
-    texts = ["Hello world", "", None, "été à  la\nplage 12", "日本語 x", "ab", "a" * 500]
-    got = np.concatenate([b for _, b in langid.bundles(pa.array(texts), 64)])
+    texts = ["Hello world", "", None, "été à  la\nplage 12", "日本語 x", "ab", "a" * 500, "𐐨𐐩𐐪 𐐨", "a😀b"]
+    got = np.concatenate([b for _, b, _ in langid.bundles(pa.array(texts), 64)])
     for t, g in zip(texts, got):
         assert np.allclose(reference_bundle(t or "", 64), g)
 
@@ -52,6 +52,35 @@ def test_held_out_accuracy(docs):
     assert all(r.accepted for r in got.values())
 
 
+def test_classes_by_brute_force(docs):
+    """Languages, similarities and acceptance of every row, from bundles by the definition."""
+    names, proto = model = langid.fit(docs(language_rows(90, 1)), sample=30)
+    rows = [(i, t) for i, t, _ in language_rows(20, 4)] + [(100 + i, t) for i, t in enumerate(["the", "der.", "x", "zqxj kvwp", "les que", "12", "𐐨𐐩𐐪"])]
+    for r in langid.identify(docs(rows), model).collect():
+        v = reference_bundle(dict(rows)[r.doc_id], proto.shape[1])
+        cos = proto @ v / (np.linalg.norm(v) or 1)
+        sym = re.sub(r"[^a-z𐐨𐐩𐐪]+", " ", dict(rows)[r.doc_id].lower())
+        least = langid.MIN_SIMILARITY * min(max(len(sym) - 2, 0) / langid.ENOUGH, 1) ** 0.5
+        assert r.similarity == pytest.approx(max(cos.max(), 0), abs=2e-5) and r.accepted == (cos.max() > 0 and cos.max() >= least)
+        assert r.language == (names[int(cos.argmax())] if cos.max() > 0 else None)
+
+
+def test_short_texts_of_a_language_are_kept(docs):
+    model = langid.fit(docs(language_rows(120, 1)), sample=30)
+    short = [(i, " ".join(t.split()[:2]), k) for i, t, k in language_rows(60, 5)]
+    assert langid.accepted(docs(short), model).count() >= 58
+
+
+def test_any_column_names_pass(spark):
+    frame = spark.createDataFrame([(1, "the tion ing and", 2, 3)], "doc_id bigint, text string, `a.b` int, accepted int")
+    model = langid.fit(frame.selectExpr("doc_id", "text", "'en' as lang"))
+    out = langid.accepted(frame, model)
+    assert out.columns == frame.columns and out.count() == 1
+    item = spark.createDataFrame([(1, prose(20, 3))], "item_id bigint, text string")
+    for kept in (decontaminate.clean(frame, item), substring.without_repeats(frame)):
+        assert kept.columns == frame.columns and kept.collect() == frame.collect()
+
+
 def test_language_of_odd_rows(docs):
     model = langid.fit(docs(language_rows(60, 1)))
     rows = [(None, "the tion ing and er the ing"), (1, None), (2, ""), (3, "123 !!"), (4, "the tion and " * 30_000), (4, "the tion and")]
@@ -206,6 +235,32 @@ def test_learned_insults_and_odd_rows(spark, docs):
     assert toxicity.fit(docs(rows), labels.where("doc_id < 0")).words == toxicity.INSULTS
 
 
+def test_scores_by_brute_force(docs):
+    """Documents found, and their scores, by running the machine over all clauses of all texts."""
+    s, r = toxicity.Scorer(dict(toxicity.INSULTS), {"blork": 1.0}), random.Random(6)
+    bag = "you are an idiot moron not never said he kill will the cat sat . , ! ; \n \" blorkish blorkface fine table".split(" ")
+    rows = [(i, " ".join(r.choice(bag) for _ in range(r.randrange(60)))) for i in range(200)]
+    want = {}
+    for i, t in rows:
+        total, heaviest = 0.0, 0.0
+        for clause in re.split(r"[.!?;:\n]", t):
+            symbols = [s.read(m.group()) for m in toxicity._WORD.finditer(clause)]
+            trigger = any(w in toxicity.WORDS["threat"].split() or s.read(w)[0] == "insult" for w in re.findall(r"[^\W\d_]+", clause))
+            weight = s.grammar.weigh(symbols) if trigger else 0
+            total, heaviest = total + max(weight, 0), max(heaviest, weight)
+        if total >= toxicity.THRESHOLD:
+            want[i] = (pytest.approx(total, abs=1e-5), heaviest)
+    got = toxicity.toxic(docs(rows), s).collect()
+    assert {r.doc_id: r.score for r in got} == {i: x for i, (x, _) in want.items()}
+    for r in got:
+        assert s.score(r.clause)[0] == pytest.approx(want[r.doc_id][1]) and dict(rows)[r.doc_id][r.start : r.end].strip() == r.clause
+
+
+def test_commas_do_not_part_what_belongs_together():
+    s = toxicity.Scorer(dict(toxicity.INSULTS), {})
+    assert s.score('he said, "you idiot"')[0] == s.score('he said "you idiot"')[0] and s.score("you, idiot")[0] == s.score("you idiot")[0]
+
+
 # ---- top-k
 
 
@@ -213,12 +268,14 @@ def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(150, 12)).astype(np.float32)
     x[20:40] = x[:20]
-    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)] + [(0, x[0].tolist(), 1), (None, x[1].tolist(), 1), (900, None, 1), (901, [1.0], 1), (902, [float("nan")] * 12, 1)], "vec_id bigint, embedding array<float>, block int")
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)] + [(0, x[0].tolist(), 1), (None, x[1].tolist(), 1), (900, None, 1), (901, [1.0], 1), (903, [2.0], 1), (904, [-1.0], 1), (905, [1.0, 1.0], 1), (906, [], 1), (902, [float("nan")] * 12, 1)], "vec_id bigint, embedding array<float>, block int")
     got = {}
     for row in topk.top_k(frame, k=5, block_rows=40).orderBy("query_id", "rank").collect():
         got.setdefault(row.query_id, []).append(row.vec_id)
     score = np.round(x.astype(np.float64) @ x.astype(np.float64).T, 9)
     want = {i: sorted((j for j in range(150) if j != i), key=lambda j: (-score[i, j], j))[:5] for i in range(150)}
+    # vectors of another length are compared with one another
+    want |= {901: [903, 904], 903: [901, 904], 904: [901, 903]}
     assert got == want
     assert topk.top_k(frame.where("vec_id > 5000")).count() == 0
     assert topk.top_k(frame.where("vec_id < 3"), k=10).groupBy("query_id").count().collect() and topk.top_k(frame.where("vec_id < 3")).count() == 6
@@ -283,10 +340,17 @@ def test_round_trip_of_records(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"".join(want))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(w) for w in want))
     (tmp_path / "c.warc").write_bytes(want[0][:-8])
+    long = b"WARC/1.1\r\nContent-Length: 3000000\r\n\r\n" + bytes(range(250)) * 12_000 + warc.END
+    (tmp_path / "d e.warc.gz").write_bytes(gzip.compress(long + want[0]) + gzip.compress(want[1])[:-9])
     back = warc.read(spark, str(tmp_path)).collect()
     for name in ("a.warc", "b.warc.gz"):
         assert [bytes(r.header) + bytes(r.payload) + warc.END for r in sorted((r for r in back if r.path.endswith(name)), key=lambda r: r.place)] == want
+    assert [bytes(r.header) + bytes(r.payload) + warc.END for r in sorted((r for r in back if "e.warc.gz" in r.path), key=lambda r: r.place)][:2] == [long, want[0]]
+    for size in (1, 7, 100):
+        for data in (b"".join(want), b"".join(map(gzip.compress, want))):
+            assert [h + p + warc.END for _, h, p in warc.split(data, size)] == want
     trip = warc.round_trip(pages).collect()
+    assert all("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in r.record for r in trip)
     assert len(trip) == 5 and all(r.verified for r in trip)
     assert {r.digest for r in trip if r.length} == {hashlib.sha256("<p>é</p>".encode()).hexdigest()}
     assert all(re.match(r"WARC/1.1\r\n", r.record) for r in trip)
