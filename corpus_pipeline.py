@@ -31,12 +31,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     runtime.tune(spark)
     gone = jaccard.near_duplicates(docs).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["doc_id"], "left_anti")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     runtime.tune(spark)
-    return substring.without_repeats(docs).where(F.col("text").rlike(r"[^\x00-\x7f]|[0-9a-zA-Z]"))
+    left = substring.without_repeats(docs)
+    return left.where(left["text"].rlike(r"[^\x00-\x7f]|[0-9a-zA-Z]"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = runtime.tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = runtime.written(stage(spark, docs, sf_dir).select(*docs.columns), name)
+        docs = runtime.written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
