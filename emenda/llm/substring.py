@@ -247,29 +247,56 @@ def _similar(pairs: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, t:
     return good
 
 
+def _prefix_index(star: np.ndarray, pairs: np.ndarray, n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix, bounds, rows): codes of the rarest word pairs of each row (-1: none), so many that of two
+    rows of a star that reach t both have one in common; rows[bounds[c] : bounds[c + 1]] have code c."""
+    row, col = np.nonzero(pairs)
+    value = pairs[row, col]
+    order = np.lexsort((value, star[row]))
+    fresh = np.r_[True, (value[order][1:] != value[order][:-1]) | (star[row[order]][1:] != star[row[order]][:-1])][: len(order)]
+    code = np.empty(len(row), np.int64)
+    code[order] = np.cumsum(fresh) - 1
+    count = np.bincount(code)
+    order = np.lexsort((code, count[code], row))
+    row, code = row[order], code[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = (place < n[row] - np.ceil(t * n[row] - 1e-9) + 1) & (count[code] > 1)
+    row, code, place = row[keep], code[keep], place[keep]
+    prefix = np.full((len(star), int(place.max()) + 1 if len(place) else 1), -1)
+    prefix[row, place] = code
+    order = np.argsort(code, kind="stable")
+    return prefix, np.searchsorted(code[order], np.arange(len(count) + 1)), row[order]
+
+
 def similar_in_stars(star: np.ndarray, doc: np.ndarray, line: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of different documents' rows that reach t.  Rows are in order of star, the first first:
-    it is compared with all others of its star, then the next one that is similar to none, and so on."""
+    it is compared with all others of its star, then the next one that is similar to none, and so on.  These
+    later ones find the others by an index of the rarest word pairs, which loses none."""
     pairs, n = _pairs_of(line)
     row = np.arange(len(star))
     start = np.maximum.accumulate(np.where(np.r_[True, star[1:] != star[:-1]][: len(star)], row, 0))
-    matched, leader, out = np.zeros(len(star), bool), start, []
-    i = row
-    while len(i):
-        a = leader[i]
-        ask = (a != i) & (doc[a] != doc[i])
-        a, b = a[ask], i[ask]
+    matched, out, index = np.zeros(len(star), bool), [], None
+    a, b = start, row
+    while len(a):
+        ask = (a != b) & (doc[a] != doc[b])
+        leaders, a, b = a, a[ask], b[ask]
         good = _similar(pairs, n, a, b, t)
         out.append((a[good], b[good]))
-        matched[leader[i]] = True
+        matched[leaders] = True
         matched[b[good]] = True
-        # the next leaders, and the rows of their stars
+        # the next leader of each star
         left = np.flatnonzero(~matched)
-        first = left[np.r_[True, start[left][1:] != start[left][:-1]][: len(left)]]
-        leader = np.full(len(star), -1)
-        leader[start[first]] = first
-        leader = leader[start]
-        i = np.flatnonzero(leader >= 0)
+        if not len(left):
+            break
+        first = left[np.r_[True, start[left][1:] != start[left][:-1]]]
+        prefix, bounds, rows = index = index or _prefix_index(star, pairs, n, t)
+        leader, code = np.repeat(first, prefix.shape[1]), prefix[first].ravel()
+        leader, code = leader[code >= 0], code[code >= 0]
+        size = bounds[code + 1] - bounds[code]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(bounds[code], size)
+        both = np.unique(np.repeat(leader, size) * len(star) + rows[at])
+        # a leader without any other is done by itself
+        a, b = np.r_[both // len(star), first], np.r_[both % len(star), first]
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (row[:0], row[:0])
 
 
