@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .registry import QUERIES, SQL
-from . import building, correction, details, functions, tokens  # noqa: F401  (they register their queries)
+from . import building, correction, details, functions, lexicons, tokens  # noqa: F401  (they register their queries)
 
 FLAGSHIP = "restore_accents"
 

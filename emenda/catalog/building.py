@@ -88,23 +88,6 @@ def bl_counts(spark, sf):
     return writers.counts({"frequencies": frequencies(spark, sf), "merged": X.merge_words(_dictionary(spark, sf))})
 
 
-VALIDATE = Fixture("ord bigint, surface string, no_tone string, freq double", [(0, "gạt", "gat", 0.5), (1, "", "", 0.5), (2, "số", "xo", 0.5), (3, "gạt", "gat", 1.5), (4, None, None, 0.1)])
-
-
-@query(
-    "bl_validate",
-    f"""SELECT ord, CAST((CASE WHEN coalesce(trim(surface), '') = '' THEN 1 ELSE 0 END) + (CASE WHEN NOT freq BETWEEN 0 AND 1 THEN 1 ELSE 0 END)
-    + (CASE WHEN {strip_sql('surface')} <> no_tone THEN 1 ELSE 0 END) + (CASE WHEN row_number() OVER (PARTITION BY surface ORDER BY ord) > 1 THEN 1 ELSE 0 END) AS INTEGER) AS errors FROM {VALIDATE.sql()}""",
-)
-def bl_validate(spark, sf):
-    return X.validate_words(VALIDATE.df(spark)).select("ord", F.size("errors").alias("errors"))
-
-
-@query("bl_builders", f"SELECT ord, surface IS NULL OR trim(surface) = '' AS skipped FROM {VALIDATE.sql()}")
-def bl_builders(spark, sf):
-    return VALIDATE.df(spark).select("ord", (F.col("surface").isNull() | (F.trim("surface") == "")).alias("skipped"))
-
-
 _SRC = "CASE CAST(doc_id % 4 AS INTEGER) WHEN 0 THEN 'curated' WHEN 1 THEN 'domain' WHEN 2 THEN 'lexicon' ELSE 'mined' END"
 _WGT = "CASE CAST(doc_id % 4 AS INTEGER) WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 WHEN 2 THEN 0.85 ELSE 0.45 END::DOUBLE"
 _PHRASES = f"""(SELECT doc_id AS ord, lang, {_SRC} AS source, {_WGT} AS weight, w[1:1 + CAST(doc_id % 5 AS INTEGER)] AS tokens, ((doc_id % 10) + 1) / 10.0::DOUBLE AS score FROM

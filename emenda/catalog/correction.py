@@ -15,13 +15,12 @@ from .building import FREQ_SQL, frequencies
 from .registry import Fixture, documents, query, strip_sql
 from .tokens import tokens_sql
 
-_FEW = "(SELECT * FROM documents WHERE doc_id < 40)"
-_T = tokens_sql(_FEW)
+_T = tokens_sql()
 _KEYS = ["doc_id", "tok_idx"]
 
 
 def _tokens(spark, sf):
-    return K.tokenize(documents(spark, sf).where("doc_id < 40")).withColumn("protected", F.lit(False))
+    return K.tokenize(documents(spark, sf)).withColumn("protected", F.lit(False))
 
 
 def _lx(spark, sf, **more):

@@ -192,7 +192,7 @@ def cg_trim_window(spark, sf):
     return COUNTS.df(spark).select("id", F.array_join(trim("counts", "lim").cast("array<string>"), ",").alias("counts"))
 
 
-@query("lat_identity", f"SELECT doc_id, island, word_pos AS start_pos, CAST(word_pos + 1 AS INTEGER) AS end_pos, CAST(0 AS DOUBLE) AS score FROM {islands_sql('(SELECT * FROM documents WHERE doc_id < 40)')}")
+@query("lat_identity", f"SELECT doc_id, island, word_pos AS start_pos, CAST(word_pos + 1 AS INTEGER) AS end_pos, CAST(0 AS DOUBLE) AS score FROM {islands_sql()}")
 def lat_identity(spark, sf):
     words = K.islands(_tokens(spark, sf))
     return words.select("doc_id", "island", F.col("word_pos").alias("start_pos"), (F.col("word_pos") + 1).alias("end_pos"), F.lit(0.0).alias("score"))
@@ -246,7 +246,7 @@ def dc_pipeline(spark, sf):
     return DECISIONS.df(spark).groupBy(d.alias("decision")).agg(F.count("*").alias("n"))
 
 
-@query("rb_offsets", f"SELECT doc_id, tok_idx, start, \"end\" FROM {tokens_sql('(SELECT * FROM documents WHERE doc_id < 40)')} WHERE tok_idx % 7 = 0")
+@query("rb_offsets", f"SELECT doc_id, tok_idx, start, \"end\" FROM {tokens_sql()} WHERE tok_idx % 7 = 0")
 def rb_offsets(spark, sf):
     toks = _tokens(spark, sf)
     return toks.where("tok_idx % 7 = 0").select("doc_id", "tok_idx").join(toks, ["doc_id", "tok_idx"]).select("doc_id", "tok_idx", "start", "end")
@@ -257,17 +257,6 @@ def snk_result(spark, sf):
     return P.correct(TEXTS.df(spark), fixture_resources(spark)).select("doc_id", "status")
 
 
-@query("snk_debug")
-def snk_debug(spark, sf):
-    return _scored(spark).select("seq_id", F.format_string("#%d %.3f %s", "rank", "raw", F.array_join("tokens", " ")).alias("line"))
-
-
-@query("bl_pipeline", f"SELECT no_tone, surface, CAST(row_number() OVER (PARTITION BY no_tone ORDER BY surface) AS INTEGER) AS place FROM {KNOWN.sql()}")
-def bl_pipeline(spark, sf):
-    words = KNOWN.df(spark).select(F.lit("uvd").alias("source"), "surface", F.col("surface").alias("normalized"), "no_tone", F.col("surface").alias("ord"))
-    return X.no_tone_index(X.merge_words(words)).select("no_tone", "surface", F.col("rank").alias("place"))
-
-
 @query("prot_lex_rule", f"SELECT token, token IN ('thé') OR token IN (SELECT surface FROM {ABBREVIATIONS.sql()}) OR token IN (SELECT surface FROM {DOMAIN.sql()} WHERE domain IN ('chemical', 'brand', 'code')) AS protected FROM {ASKED.sql()}")
 def prot_lex_rule(spark, sf):
     rows = L.flagged(ASKED.df(spark), spark.createDataFrame([("thé",)], "w string"), "token", "w", "a")

@@ -123,20 +123,21 @@ def fn_case_restore(spark, sf):
     return CASES.df(spark).where("id in (1, 2, 3, 4, 5, 6)").select("id", T.restore_case(F.lower(c), c, T.case_pattern(c)).alias("out"))
 
 
-@query("fn_lev", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE doc_id < 20),
+@query("fn_lev", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
 k AS (SELECT w FROM w WHERE length(w) BETWEEN 4 AND 6)
 SELECT a.w AS a, b.w AS b, CAST(levenshtein(a.w, b.w) AS INTEGER) AS d FROM k a JOIN k b ON a.w[1:3] = b.w[1:3] AND a.w < b.w""")
 def fn_lev(spark, sf):
-    w = documents(spark, sf).where("doc_id < 20").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("w")).distinct().where("length(w) between 4 and 6")
+    w = documents(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("w")).distinct().where("length(w) between 4 and 6")
     a, b = w.select(F.col("w").alias("a")), w.select(F.col("w").alias("b"))
     return a.join(b, (F.substring("a", 1, 3) == F.substring("b", 1, 3)) & (F.col("a") < F.col("b"))).select("a", "b", F.levenshtein("a", "b").alias("d"))
 
 
-@query("fn_lev_seq")
+@query("fn_lev_seq", "SELECT doc_id, CAST(len(string_split(text, ' ')) // 3 + 1 AS INTEGER) AS distance FROM documents")
 def fn_lev_seq(spark, sf):
-    d = documents(spark, sf).where("doc_id < 50")
-    a, b = F.split("text", " "), F.slice(F.split("text", " "), F.lit(2), F.greatest(F.size(F.split("text", " ")) - 1, F.lit(0)))
-    return d.select("doc_id", T.word_distance(a, b).alias("distance"))
+    """Every third word replaced by one of no text, and one more put in front: each is an edit."""
+    words = F.split("text", " ")
+    other = F.concat(F.array(F.lit("\x01")), F.transform(words, lambda w, i: F.when(i % 3 == 2, F.concat(F.lit("\x02"), i.cast("string"))).otherwise(w)))
+    return documents(spark, sf).select("doc_id", T.word_distance(words, other).alias("distance"))
 
 
 @query("fn_ascii", "SELECT doc_id, NOT regexp_matches(text, '[^\\x00-\\x7F]') AS ascii FROM documents")

@@ -96,9 +96,9 @@ def src_lex_phrases(spark, sf):
     return readers.phrases(RAW_PHRASES.df(spark), recount=True)
 
 
-@query("src_chem_list", "SELECT DISTINCT trim(l) AS term FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE doc_id < 100) WHERE trim(l) <> '' AND NOT starts_with(trim(l), '#')")
+@query("src_chem_list", "SELECT DISTINCT trim(l) AS term FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> '' AND NOT starts_with(trim(l), '#')")
 def src_chem_list(spark, sf):
-    return readers.term_list(documents(spark, sf).where("doc_id < 100").select(F.explode(F.split("text", "\n")).alias("line")))
+    return readers.term_list(documents(spark, sf).select(F.explode(F.split("text", "\n")).alias("line")))
 
 
 RAW_LINES = Fixture("line string", [("3",), ("muỗng/AB",), ("gạt",), ('{"text": "ngang"}',), ("x@y.example",), ("Nguyễn",), ("Smith",), ("",)])
@@ -252,9 +252,9 @@ def prot_restore(spark, sf):
 SPANS = Fixture("doc_id bigint, start bigint, end_ bigint", [(0, 0, 10), (1, 5, 25), (2, 3, 3), (3, 12, 40), (3, 30, 60)])
 
 
-@query("prot_mark", f"SELECT t.doc_id, t.tok_idx, EXISTS (SELECT 1 FROM {SPANS.sql()} s WHERE s.doc_id = t.doc_id AND s.start <= t.start AND t.\"end\" <= s.end_) AS protected FROM {tokens_sql('(SELECT * FROM documents WHERE doc_id < 10)')} t")
+@query("prot_mark", f"SELECT t.doc_id, t.tok_idx, EXISTS (SELECT 1 FROM {SPANS.sql()} s WHERE s.doc_id = t.doc_id AND s.start <= t.start AND t.\"end\" <= s.end_) AS protected FROM {tokens_sql()} t")
 def prot_mark(spark, sf):
-    toks = K.tokenize(documents(spark, sf).where("doc_id < 10"))
+    toks = K.tokenize(documents(spark, sf))
     return S.mark_tokens(toks, SPANS.df(spark).withColumnRenamed("end_", "end")).select("doc_id", "tok_idx", "protected")
 
 
@@ -269,11 +269,16 @@ def flt_words(spark, sf):
     return K.tokenize(documents(spark, sf)).where(F.col("token_type").isin(*K.WORDS)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("snk_json")
+@query("snk_json", "SELECT doc_id, CAST(to_json({'doc_id': doc_id, 'text': text, 'lang': lang, 'source': source, 'n_chars': n_chars}) AS VARCHAR) AS json FROM documents")
 def snk_json(spark, sf):
     return writers.as_json(documents(spark, sf), "doc_id")
 
 
+@query("snk_debug", f"SELECT doc_id, tok_idx, printf('%3d %s %s%s', tok_idx, token, token_type, CASE WHEN length(token) = 3 THEN ' [protected]' ELSE '' END) AS line FROM {tokens_sql()}")
+def snk_debug(spark, sf):
+    return writers.token_lines(K.tokenize(documents(spark, sf)).withColumn("protected", F.length("token") == 3))
+
+
 @query("snk_text", "SELECT doc_id, '[0:' || n_chars || '] ''' || source || ''' -> ''' || lang || ''' (50.00%)' AS line FROM documents")
 def snk_text(spark, sf):
     return documents(spark, sf).select("doc_id", writers.change_line(F.lit(0), F.col("n_chars"), F.col("source"), F.col("lang"), F.lit(0.5)).alias("line"))

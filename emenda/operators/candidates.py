@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,12 +81,24 @@ def from_domain(words: DataFrame, lx: Lexicons) -> DataFrame:
     return _row(lx, rows, "domain_specific", F.col("surface"), 0.20 + 0.2 * F.col("freq"), entry_ord=F.col("entry_ord"), word_freq=F.col("freq"), known_word=F.lit(True))
 
 
+def _deletions(key: Column) -> Column:
+    """The key, and the key without each of its characters: keys one edit apart have one in common."""
+    less = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.concat(key.substr(F.lit(1), i - 1), key.substr(i + 1, F.length(key))))
+    return F.array_distinct(F.concat(F.array(key), less))
+
+
 def from_edits(words: DataFrame, lx: Lexicons, most: int = 3) -> DataFrame:
-    """The first entries with the same beginning whose keys are one edit away."""
+    """The first entries with the same beginning of three letters whose keys are one edit away.
+
+    They meet by what is left when a character is deleted, so that the join is on equal keys of which
+    few words share any."""
     n = F.length("token")
-    near = words.where((n >= 3) & (n <= 20))
-    rows = lookup.by_prefix(near, lx.lexicon).withColumn("d", F.levenshtein(T.strip_accents(F.col("token")), F.col("no_tone"), 1))
-    rows = rows.where((F.col("d") > 0) & (F.col("d") <= 1) & (F.col("surface") != F.col("token")))
+    near = words.where((n >= 3) & (n <= 20)).withColumn("__key", T.strip_accents(F.col("token")))
+    forms = near.select("__key").distinct().withColumn("__part", F.explode(_deletions(F.col("__key"))))
+    keys = lx.lexicon.select("no_tone").where(F.length("no_tone").between(2, 21)).distinct().withColumn("__part", F.explode(_deletions(F.col("no_tone"))))
+    pairs = forms.join(keys, "__part").where(F.substring("__key", 1, 3) == F.substring("no_tone", 1, 3)).select("__key", "no_tone").distinct()
+    pairs = pairs.withColumn("d", F.levenshtein("__key", "no_tone", 1)).where((F.col("d") > 0) & (F.col("d") <= 1))
+    rows = near.join(pairs, "__key").drop("__key").join(lx.lexicon, "no_tone").where(F.col("surface") != F.col("token"))
     rank = F.row_number().over(Window.partitionBy(*lx.keys).orderBy("entry_ord"))
     rows = rows.withColumn("r", rank).where(F.col("r") <= most)
     return _row(lx, rows, "edit_distance", F.col("surface"), 0.05 + 0.1 * F.col("freq") - 0.05 * F.col("d"), entry_ord=F.col("entry_ord"), edit_distance=F.col("d"), word_freq=F.col("freq"))
@@ -160,10 +172,19 @@ def rank(candidates: DataFrame, keys: list[str], most: int = MAX_CANDIDATES) ->
 
 
 def generate(tokens: DataFrame, lx: Lexicons, most: int = MAX_CANDIDATES) -> DataFrame:
-    """Ranked candidates of all tokens: sources, phrase evidence, merge, limits."""
-    rows = proposals(tokens, lx)
-    if lx.phrases is not None:
-        rows = rows.unionByName(phrase_evidence(tokens, rows.where(F.col("text") != ""), lx))
+    """Ranked candidates of all tokens: sources, phrase evidence, merge, limits.
+
+    Look-ups, and without phrases the ranking too, are made once for every distinct token, however often
+    it occurs."""
+    form = F.struct("token", "token_type", "protected")
+    places = tokens.select(*lx.keys, form.alias("form"))
+    forms = places.select("form").distinct().select("form", "form.*")
+    once = replace(lx, keys=["form"])
+    rows = proposals(forms, once)
+    if lx.phrases is None:
+        return places.join(rank(merge(rows, ["form"]), ["form"], most), "form").drop("form")
+    rows = places.join(rows, "form").drop("form")
+    rows = rows.unionByName(phrase_evidence(tokens, rows.where(F.col("text") != ""), lx))
     return rank(merge(rows, lx.keys), lx.keys, most)
 
 

@@ -9,7 +9,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Choice = tuple[str, float]
@@ -33,23 +33,33 @@ def beam(originals: Sequence[str], choices: Sequence[Sequence[Choice]], bigram:
 
     Ties at the width stay, and the sequence of originals is put back whenever it falls out."""
     options = [position_choices(o, c, most) for o, c in zip(originals, choices)]
-    rows: list[tuple[tuple[str, ...], str | None, float]] = [((), None, 0.0)]
-    same, same_last, same_score = (), None, 0.0
+    # a row is (link, last content token, score, whether all is original), a link (link before, token):
+    # rows share what they have in common, so a long window costs no more a position than a short one
+    rows: list[tuple[tuple | None, str | None, float, bool]] = [(None, None, 0.0, True)]
+    same, same_last, same_score = None, None, 0.0
     for original, own in zip(originals, options):
         grown = []
-        for tokens, last, score in rows:
+        for link, last, score, plain in rows:
             for text, prior in own:
                 content = bool(text.strip())
                 gain = bigram(last, text) if last is not None and content else 0.0
-                grown.append(((*tokens, text), text if content else last, score + prior + gain))
+                grown.append(((link, text), text if content else last, score + prior + gain, plain and text == original))
         grown.sort(key=lambda r: -r[2])
         rows = [r for r in grown if r[2] >= grown[width - 1][2]] if len(grown) > width else grown
         same_score += next((p for t, p in own if t == original), 0.0) + (bigram(same_last, original) if same_last is not None else 0.0)
-        same = (*same, original)
+        same = (same, original)
         same_last = original if original.strip() else same_last
-        if not any(r[0] == same for r in rows):
-            rows.append((same, same_last, same_score))
-    return [(tokens, score) for tokens, _, score in rows]
+        if not any(r[3] for r in rows):
+            rows.append((same, same_last, same_score, True))
+
+    def tokens(link: tuple | None) -> tuple[str, ...]:
+        out = []
+        while link is not None:
+            link, text = link
+            out.append(text)
+        return tuple(reversed(out))
+
+    return [(tokens(link), score) for link, _, score, _ in rows]
 
 
 def product(originals: Sequence[str], choices: Sequence[Sequence[Choice]], limit: int = 5000, most: int = 8) -> list[tuple[tuple[str, ...], float]]:
@@ -74,11 +84,16 @@ def generate(window_candidates: DataFrame, bigrams: DataFrame, key: str = "doc_i
 
     window_candidates: (key, win_id, tok_idx, token, text, prior, rank).  bigrams: (ngram, score).
     Only bigrams of neighbouring candidates can count, so those come along with each window."""
-    rows = window_candidates.select(key, "win_id", "tok_idx", "token", F.struct("rank", "text", "prior").alias("c"))
+    rows = window_candidates.select(key, "win_id", "tok_idx", "token", F.struct(F.negative("prior").alias("k"), "rank", "text", "prior").alias("c"))
     positions = rows.groupBy(key, "win_id", "tok_idx", "token").agg(F.array_sort(F.collect_list("c")).alias("choices"))
-    content = positions.select(key, "win_id", F.explode("choices.text").alias("w")).where(F.trim("w") != "").groupBy(key, "win_id").agg(F.collect_set("w").alias("ws"))
-    pairs = content.select(key, "win_id", F.explode("ws").alias("a"), "ws").select(key, "win_id", "a", F.explode("ws").alias("b"))
-    known = pairs.select(key, "win_id", F.concat_ws(" ", "a", "b").alias("ngram")).join(bigrams.groupBy("ngram").agg(F.max("score").alias("score")), "ngram")
+    # the search takes the best by prior, and as many more as it takes to reach the original
+    upto = F.greatest(F.lit(most), F.array_position(F.transform("choices", lambda c: c["text"]), F.col("token")).cast("int"))
+    positions = positions.withColumn("choices", F.slice("choices", F.lit(1), upto))
+    # a content token's bigrams are with those of the next position that has any
+    content = positions.withColumn("ws", F.filter(F.transform("choices", lambda c: c["text"]), lambda w: F.trim(w) != "")).where(F.size("ws") > 0)
+    content = content.withColumn("next", F.lead("ws").over(Window.partitionBy(key, "win_id").orderBy("tok_idx")))
+    pairs = content.select(key, "win_id", F.explode("ws").alias("a"), "next").select(key, "win_id", "a", F.explode("next").alias("b"))
+    known = pairs.select(key, "win_id", F.concat_ws(" ", "a", "b").alias("ngram")).distinct().join(bigrams.groupBy("ngram").agg(F.max("score").alias("score")), "ngram")
     known = known.groupBy(key, "win_id").agg(F.map_from_entries(F.collect_set(F.struct("ngram", "score"))).alias("bigrams"))
     lists = positions.groupBy(key, "win_id").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "token", "choices"))).alias("positions")).join(known, [key, "win_id"], "left")
     key_type = window_candidates.schema[key].dataType.simpleString()

@@ -48,19 +48,6 @@ def first_by(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__r = 1").drop("__r")
 
 
-def validate_words(words: DataFrame) -> DataFrame:
-    """words (ord, surface, no_tone, freq) with the messages of what is wrong with each."""
-    own = Window.partitionBy("surface").orderBy("ord")
-    at = F.concat(F.lit("["), F.col("ord").cast("string"), F.lit("] "))
-    checks = F.array_compact(F.array(
-        F.when(F.coalesce(F.trim("surface"), F.lit("")) == "", F.concat(at, F.lit("surface is empty"))),
-        F.when(~F.col("freq").between(0.0, 1.0), F.concat(at, F.lit("freq is out of range"))),
-        F.when(T.strip_accents(F.col("surface")) != F.col("no_tone"), F.concat(at, F.lit("base does not match"))),
-        F.when(F.row_number().over(own) > 1, F.concat(at, F.lit("duplicate surface"))),
-    ))
-    return words.withColumn("errors", checks)
-
-
 def statistics(lexicon: DataFrame) -> DataFrame:
     """Entries, distinct surfaces and keys by kind and in all, in one pass over grouping sets."""
     rows = lexicon.rollup("kind").agg(

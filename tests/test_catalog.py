@@ -38,4 +38,5 @@ def test_query_equals_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
-    assert catalog.queries()[name](spark, DATA).schema.names
+    found = catalog.queries()[name](spark, DATA)
+    assert found.schema.names and found.count() >= 0
