@@ -35,8 +35,8 @@ from .runtime import written
 CAPACITY = 4096
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Ranks within a length are taken in so many shares, so that no length is one task.
-SHARES = 16
+#: Ranks within a length are taken in shares of about so many pieces, so that no length is one task.
+SHARE_PIECES = 1 << 20
 
 
 class Segments:
@@ -168,13 +168,16 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizers: str = TOKENIZE
     return texts.mapInArrow(scan, "doc_id bigint, text_hash bigint, piece bigint, start bigint, end bigint, tokens bigint")
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, share_pieces: int = SHARE_PIECES) -> DataFrame:
     """One row per window: (window_id, tokens, doc_ids, pieces), pieces in their order as structs
     (doc_id, piece, start, end, offset, tokens): characters start to end of the document are tokens
     offset to offset + tokens of the window.  doc_ids has the pieces' documents, each once."""
     spark = docs.sparkSession
-    share = F.pmod(F.xxhash64("doc_id", "text_hash", "piece"), F.lit(SHARES)).cast("int")
-    table = written(pieces(docs, capacity, tokenizers, vocabulary).withColumn("share", share), "pieces")
+    table = written(pieces(docs, capacity, tokenizers, vocabulary), "pieces")
+    # no more rows than there are lengths
+    sizes = table.groupBy("tokens").agg(F.ceil(F.count("*") / share_pieces).alias("shares"))
+    share = F.pmod(F.xxhash64("doc_id", "text_hash", "piece"), F.col("shares")).cast("int")
+    table = table.join(sizes, "tokens").withColumn("share", share)
     counts = {(r.tokens, r.share): r["count"] for r in table.groupBy("tokens", "share").count().collect()}
     lengths: dict[int, int] = {}
     before = []
@@ -208,7 +211,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, tokenizers: str = TOKENIZE
 
     starts = spark.createDataFrame(before or [(0, 0, 0)], "tokens bigint, share int, before bigint")
     own = Window.partitionBy("tokens", "share").orderBy("doc_id", "text_hash", "piece")
-    ranked = table.withColumn("own", F.row_number().over(own) - 1).join(F.broadcast(starts), ["tokens", "share"])
+    ranked = table.withColumn("own", F.row_number().over(own) - 1).join(starts, ["tokens", "share"])
     ranked = ranked.select("doc_id", "piece", "start", "end", "tokens", (F.col("before") + F.col("own")).alias("rank"))
     schema = "doc_id bigint, piece bigint, start bigint, end bigint, tokens bigint, rank bigint, window_id bigint, offset bigint"
     placed = ranked.mapInArrow(place, schema)

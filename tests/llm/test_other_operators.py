@@ -129,7 +129,7 @@ def test_plan_is_best_fit_decreasing(seed):
 def test_packed_windows_hold_all_text(docs):
     enc = packing.encoding(packing.TOKENIZERS, packing.VOCABULARY)
     rows = [(i, prose(5 + 7 * i % 90, i)) for i in range(60)] + [(70, prose(900, 1)), (71, "日本語テキスト" * 200), (72, None), (73, ""), (None, "no id here"), (74, "same"), (74, "same")]
-    got = packing.packed(docs(rows), capacity=64).collect()
+    got = packing.packed(docs(rows), capacity=64, share_pieces=3).collect()
     text = {i: t for i, t in rows if i is not None}
     spans, lengths = {}, []
     for w in got:
