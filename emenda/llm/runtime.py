@@ -52,17 +52,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that written() gave, once nothing reads them any more."""
+    """Deletes tables that written() gave, once nothing reads them any more, and has the driver drop the
+    plans and broadcasts that went with them."""
     for table in tables:
-        jvm = table.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table._written_to)
-        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    """Bounds the bytes of an Arrow batch, so that long texts don't add up in the Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        spark._jvm.System.gc()
 
 
 def passed(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
