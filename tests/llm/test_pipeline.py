@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import pytest
 
@@ -56,3 +58,78 @@ def test_no_piece_of_a_passage_or_an_item_passes(spark, docs, tmp_path):
     for i, p in enumerate(passages + items):
         holding = [d for d, t in text.items() if any(x in t for x in pieces(p))]
         assert holding == ([10 * i] if i < len(passages) else [])
+
+
+def components_of(edges):
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {v: find(v) for v in list(root)}
+
+
+def test_stages_meet_brute_force(spark, docs, tmp_path):
+    """Each stage on what its predecessor kept, against pairs of all documents, all windows and all paragraphs."""
+    from emenda.llm import decontaminate, jaccard
+
+    from . import test_decontaminate, test_jaccard, test_substring
+
+    r, wide = random.Random(8), 100_000
+    items = [(j, prose(20 + 3 * j, 80_000 + j, wide)) for j in range(4)]
+    passages = [prose(70, 81_000 + j, wide) for j in range(4)]
+    rows = []
+    for i in range(70):
+        body = prose(60 + i, 82_000 + i, wide)
+        if i % 5 == 1:
+            body = f"{body} {r.choice(passages)} {prose(40, 83_000 + i, wide)}"
+        if i % 7 == 2:
+            body = f"{body} {r.choice(items)[1]} {prose(30, 84_000 + i, wide)}"
+        if i % 6 == 3 and i > 10:
+            w = r.choice(rows)[1].split()
+            w[r.randrange(len(w))] = "other"
+            body = " ".join(w)
+        rows.append((i, body))
+    rows += [(100, rows[3][1]), (101, "12 34"), (102, ""), (103, prose(3, 5, wide)), (None, prose(50, 9, wide)), (None, prose(50, 9, wide))]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def run(stage, docs_):
+        return runtime.written(stage(spark, docs_, str(tmp_path)), "stage")
+
+    def plain(found):
+        return sorted(((x.doc_id, x.text) for x in found.collect()), key=str)
+
+    given = docs(rows)
+    one = run(corpus_pipeline.language, given)
+    assert plain(one) == sorted(((i, t) for i, t in rows if any(c.isalpha() for c in t)), key=str)
+
+    two, texts = run(corpus_pipeline.near_duplicates, one), plain(one)
+    group = components_of(test_jaccard.brute(texts, jaccard.THRESHOLD))
+    assert plain(two) == sorted(((i, t) for i, t in texts if group.get(i, i) == i), key=str)
+
+    three, texts = run(corpus_pipeline.substrings, two), [(i, t) for i, t in plain(two) if i is not None]
+    node = [(i, t.split()[k : k + 24]) for i, t in texts for k in test_substring.brute_paragraphs(t)]
+    edges = [(a, b) for a in range(len(node)) for b in range(a) if node[a][0] != node[b][0] and test_substring.jaccard(node[a][1], node[b][1]) >= 0.7]
+    least = {}
+    for v, c in components_of(edges).items():
+        least[c] = min(least.get(c, 1 << 60), node[v][0])
+    want = {node[v][0] for v, c in components_of(edges).items() if node[v][0] > least[c]}
+    after, before = {i: t for i, t in plain(three) if i is not None}, dict(texts)
+    cut = {i for i in before if after.get(i) != before[i]}
+    assert cut <= want and len(cut) >= 0.9 * len(want) and want
+    assert all(len(after.get(i, "").split()) <= len(before[i].split()) - 20 for i in cut)
+
+    four, texts = run(corpus_pipeline.decontamination, three), plain(three)
+    bad = {i for i, _ in test_decontaminate.brute(texts, items)}
+    kept = plain(four)
+    gone = [x for x in texts if x not in kept]
+    assert {i for i, _ in gone} <= bad and len(gone) >= 0.9 * len(bad - {None}) and bad
+    assert decontaminate.THRESHOLD == 0.7
+
+    pieces = [p for w in corpus_pipeline.windows(spark, four, str(tmp_path)).collect() for p in w.pieces]
+    assert sorted(((p.doc_id, p.end - p.start) for p in pieces), key=str) == sorted(((i, len(t)) for i, t in kept), key=str)
