@@ -133,3 +133,21 @@ def test_stages_meet_brute_force(spark, docs, tmp_path):
 
     pieces = [p for w in corpus_pipeline.windows(spark, four, str(tmp_path)).collect() for p in w.pieces]
     assert sorted(((p.doc_id, p.end - p.start) for p in pieces), key=str) == sorted(((i, len(t)) for i, t in kept), key=str)
+
+
+def test_empty_tables_and_other_columns(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, `a.b` int, spans string, set_id int"
+    item = spark.createDataFrame([], "item_id bigint, text string")
+    item.write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = prose(80, 3)
+    for name, rows in (("none", []), ("some", [(1, text, "en", None, len(text), 7, "s", 8)] * 2 + [(2, text, "en", None, len(text), 9, "t", 10)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        item.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        given = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        kept = given
+        for step, stage in corpus_pipeline.STAGES[:-1]:
+            kept = runtime.written(stage(spark, kept, str(tmp_path)), step)
+            assert kept.columns == given.columns
+        assert [tuple(r) for r in kept.collect()] == rows[:2]
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert [p.doc_id for w in found for p in w.pieces] == [r[0] for r in rows[:2]]
