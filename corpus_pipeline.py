@@ -12,7 +12,10 @@ documents.
 5. packing gives one row per training window, with its documents and the parts it has of them.
 
 Rows with a null doc_id can't be told apart: stages 2, 3 and 4 pass them on, and packing packs them.
-Rows with a null text go in the first stage.
+Rows with a null or empty text go in the first stage.  Rows that share a doc_id are one document: they
+stay or go together, and are packed as often as they occur.  Of equal documents the least doc_id stays.
+Other columns, of whatever name, come along to the last stage.  Empty tables give no windows, and without a
+benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
