@@ -139,9 +139,9 @@ def jn_accentless(spark, sf):
     return L.by_no_tone(_tokens(spark, sf), frequencies(spark, sf)).select("token", "surface", "cnt")
 
 
-@query("jn_syllable", f"SELECT no_tone, count(*) AS forms FROM {FREQ_SQL} GROUP BY 1 HAVING count(*) > 1")
+@query("jn_syllable", f"SELECT token, count(*) AS forms, max(cnt) AS most FROM {_TOK} t JOIN {FREQ_SQL} f ON {strip_sql('t.token')} = f.no_tone GROUP BY 1")
 def jn_syllable(spark, sf):
-    return frequencies(spark, sf).groupBy("no_tone").agg(F.count("*").alias("forms")).where("forms > 1")
+    return L.by_no_tone(_tokens(spark, sf), frequencies(spark, sf)).groupBy("token").agg(F.count("*").alias("forms"), F.max("cnt").alias("most"))
 
 
 @query("jn_semi_word", f"SELECT token, token IN (SELECT surface FROM {FREQ_SQL}) AS known FROM {_TOK}")

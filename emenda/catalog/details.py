@@ -127,11 +127,6 @@ def flt_ngram_gain(spark, sf):
 ASKED = Fixture("token string", [("thé",), ("dé",), ("of",), ("the",), ("und",), ("quan hệ",), ("x",)])
 
 
-@query("jn_unit", f"SELECT token, entry_ord FROM {ASKED.sql()} JOIN {DOMAIN.sql()} ON token = surface WHERE kind = 'common_word'")
-def jn_unit(spark, sf):
-    return L.by_surface(ASKED.df(spark), DOMAIN.df(spark).where("kind = 'common_word'")).select("token", "entry_ord")
-
-
 @query("jn_abbrev", f"SELECT token, exp_ord, expansion FROM {ASKED.sql()} JOIN {ABBREVIATIONS.sql()} ON token = surface")
 def jn_abbrev(spark, sf):
     return L.by_abbreviation(ASKED.df(spark), ABBREVIATIONS.df(spark)).select("token", F.col("exp_ord").cast("bigint").alias("exp_ord"), "expansion")
@@ -142,11 +137,6 @@ def jn_ocr(spark, sf):
     return L.by_confusion(ASKED.df(spark), CONFUSIONS.df(spark)).select("token", "correction", F.lit(0.7).alias("score"))
 
 
-@query("jn_phrase", f"SELECT token, confidence FROM {ASKED.sql()} JOIN {PHRASES.sql()} ON token = phrase")
-def jn_phrase(spark, sf):
-    return ASKED.df(spark).join(PHRASES.df(spark), F.col("token") == F.col("phrase")).select("token", "confidence")
-
-
 @query("jn_phrase_notone", f"SELECT token, phrase FROM {ASKED.sql()} JOIN {PHRASES.sql()} ON trim({strip_sql('token')}) = no_tone")
 def jn_phrase_notone(spark, sf):
     return L.by_no_tone(ASKED.df(spark), PHRASES.df(spark)).select("token", "phrase")

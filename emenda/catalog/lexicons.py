@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import lookup as L
 from ..plans import builders as B
 from ..plans import validation as V
-from .building import FREQ_SQL, frequencies
+from .building import _TOK, FREQ_SQL, _tokens, frequencies
 from .registry import documents, query, strip_sql
 
 _W = "(SELECT doc_id AS ord, lang, list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x <> '') AS w FROM documents)"
@@ -62,6 +63,22 @@ def bl_builders(spark, sf):
     )
 
 
+@query("jn_unit", f"SELECT token, ord FROM {_TOK} t JOIN {_BUILT} b ON t.token = b.surface WHERE b.kind = 'unit'")
+def jn_unit(spark, sf):
+    return L.by_surface(_tokens(spark, sf), B.words(_raw(spark, sf)["words"]).where("kind = 'unit'")).select("token", "ord")
+
+
+_ASKED = f"(SELECT DISTINCT phrase AS token FROM {_PHRASE} WHERE ord % 2 = 0)"
+
+
+@query("jn_phrase", f"SELECT a.token, p.ord, p.confidence FROM {_ASKED} a JOIN {_BUILT} p ON a.token = p.surface WHERE p.builder = 'phrases'")
+def jn_phrase(spark, sf):
+    """Phrases by their text: all entries of each."""
+    raw = _raw(spark, sf)["phrases"]
+    asked = raw.where("ord % 2 = 0").select(F.col("phrase").alias("token")).distinct()
+    return L.by_surface(asked, B.phrases(raw)).select("token", "ord", "confidence")
+
+
 _KIND = "coalesce(kind, CASE builder WHEN 'phrases' THEN 'phrase' WHEN 'confusions' THEN 'ocr_confusion' ELSE 'abbreviation' END)"
 _STATS = f"""SELECT 'total' AS what, 'entries' AS name, count(*) AS n FROM {_BUILT} UNION ALL SELECT 'total', 'surfaces', count(DISTINCT surface) FROM {_BUILT} UNION ALL SELECT 'total', 'keys', count(DISTINCT CASE WHEN no_tone <> '' THEN no_tone END) FROM {_BUILT}
   UNION ALL SELECT 'kind', {_KIND}, count(*) FROM {_BUILT} GROUP BY 2 UNION ALL SELECT 'domain', domain, count(*) FROM {_BUILT} WHERE domain <> '' GROUP BY 2"""
