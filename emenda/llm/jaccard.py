@@ -4,7 +4,9 @@ Every document is the set of its word n-grams, as 56-bit hashes.  All pairs of d
 have a Jaccard similarity of at least ``threshold`` are found exactly:
 
 * *Order.*  N-grams are ordered from rare to common.  Document frequencies come from all documents,
-  added up in a table of fixed size; any order gives right results, a better one shorter lists.
+  added up in a table of fixed size; any order gives right results, a better one shorter lists.  That
+  table fills with the input, and then hides n-grams of a few hundred documents: these are counted one
+  by one in a sample of the sets, and come last.
 * *Index lists.*  Two sets that are similar enough share four n-grams (or, of small sets, all that
   they need) within prefixes that are as much longer.  Short lists of the prefix index count the
   n-grams that each pair shares.  Long lists are cut into blocks by size; within a block, entries
@@ -14,7 +16,8 @@ have a Jaccard similarity of at least ``threshold`` are found exactly:
 * *Answers.*  The sets of a star are compared through their centre x.  A set's overlaps follow
   incrementally from those of x: |y & z| = |x| - |x-y| - |x-z| + |(x-y) & (x-z)| + |(y-x) & (z-x)|,
   so that highly similar sets cost as much as their differences.  A star whose members all belong
-  to the star of its own centre's centre adds nothing and is skipped.
+  to the star of its own centre's centre adds nothing and is skipped.  Where classes and numbers of
+  links are asked for, pairs are counted block by block and never leave their task.
 
 Documents with equal sets are one set throughout, so groups of copies cost no more than their rows.
 
@@ -42,6 +45,13 @@ THRESHOLD = 0.5
 _COUNTERS = 1 << 18
 _BLOCKS = 16
 _MASK = np.uint64((1 << 56) - 1)
+_KEY = np.dtype([("key", "<u8")])
+#: One of so many sets is a sample for frequent n-grams, which occur in so many of its sets at least;
+#: so many of them at most, the most frequent, are told apart, by so many bits of their hash.
+_SAMPLE = 8
+_FREQUENT = 16
+_MOST = 1 << 19
+_SLOT_BITS = 23
 _POSTING = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 _DIRECT = 256
 _SHARED = 4
@@ -118,6 +128,37 @@ def _ranks(counts: np.ndarray) -> np.ndarray:
     return (np.floor(4 * np.log2(counts + 1.0)).astype(np.uint64)) << np.uint64(56)
 
 
+def _slot(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(56 - _SLOT_BITS)).astype(np.int64)
+
+
+def _late(docs: DataFrame, n: int) -> np.ndarray:
+    """Rank of frequent n-grams by slot, over that of any counter; 0 of others."""
+    parts = partitions(docs.sparkSession, docs)
+
+    def keys(batches):
+        pack = Packer(parts, _KEY)
+        for batch in batches:
+            for _, x in _sets(batch.column("text"), n):
+                if _set_id(x) % _SAMPLE == 0:
+                    yield from pack.add(x)
+        yield from pack.flush()
+        release()
+
+    def frequent(group: pa.Table) -> pa.Table:
+        key, count = np.unique(unpack(group.column("blob"), _KEY)["key"], return_counts=True)
+        at = np.flatnonzero(count >= _FREQUENT)
+        at = at[np.argsort(-count[at], kind="stable")[: max(1, _MOST // parts)]]
+        rank = 128 + np.minimum(np.floor(4 * np.log2(count[at] + 1.0)), 127)
+        release()
+        return pa.table({"slot": pa.array(_slot(key[at]), pa.int32()), "rank": pa.array(rank, pa.int16())})
+
+    found = _usable(docs).select("text").mapInArrow(keys, "part int, blob binary").groupBy("part").applyInArrow(frequent, "slot int, rank smallint").toArrow()
+    out = np.zeros(1 << _SLOT_BITS, np.uint8)
+    np.maximum.at(out, found.column("slot").to_numpy(), found.column("rank").to_numpy().astype(np.uint8))
+    return out
+
+
 def least_overlap(t: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Overlap that sets of a and b elements need for a Jaccard similarity of t."""
     return np.ceil(t / (1 + t) * (a + b) - 1e-9)
@@ -221,7 +262,13 @@ def needed_stars(edges: DataFrame) -> DataFrame:
 def verify(hub: int, ids: np.ndarray, sets: list[np.ndarray], hubs: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (a < b, Jaccard) of a star's members that reach t and share no lesser centre."""
     order = np.argsort(ids)
-    ids, sets, hubs = ids[order], [sets[i] for i in order], [hubs[i] for i in order]
+    ids = ids[order]
+    out = [(ids[i], ids[j], s) for i, j, s in _verified(hub, ids, [sets[i] for i in order], [hubs[i] for i in order], t)]
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _verified(hub: int, ids: np.ndarray, sets: list[np.ndarray], hubs: list[np.ndarray], t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What verify gives, as places among the sorted ids and block by block."""
     n = np.array([len(s) for s in sets], np.int64)
     x = sets[min(int(np.searchsorted(ids, hub)), len(ids) - 1)]  # any centre is right, the hub is the cheapest
     minus, plus = [], []
@@ -250,7 +297,6 @@ def verify(hub: int, ids: np.ndarray, sets: list[np.ndarray], hubs: list[np.ndar
     lesser = np.zeros((len(ids), len(other)), np.float32)
     for i, h in enumerate(hubs):
         lesser[i, np.searchsorted(other, h[h < hub])] = 1
-    out = []
     step = 256
 
     def dense(i0: int, i1: int, c0: int, c1: int) -> np.ndarray:
@@ -280,10 +326,7 @@ def verify(hub: int, ids: np.ndarray, sets: list[np.ndarray], hubs: list[np.ndar
             if i0 == j0:
                 good &= np.triu(np.ones_like(good), 1)
             i, j = np.nonzero(good)
-            out.append((ids[i + i0], ids[j + j0], score[i, j]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(x) for x in zip(*out))
+            yield i + i0, j + j0, score[i, j]
 
 
 def _verify_few(hub: int, ids: list[int], blobs: list[bytes], hubs: list[list[int]], t: float) -> list[tuple[int, int, float]]:
@@ -306,29 +349,33 @@ def verified_pairs(texts: DataFrame, homes: DataFrame, stars_of: DataFrame, elem
     texts: (doc_id, text); homes: (member, doc_id), a document for every member; stars_of: (member,
     hubs); elements(column, members) gives (row, member, its sorted elements) for what the texts of a
     column hold, of those members at least.
-    With spanning, only enough pairs to connect each star's similar members are given."""
+    With spanning, only enough pairs to connect each star's similar members are given; and, if homes has
+    a column weight, rows (a, null, null, links) of which the sum of links is the weight of all that are
+    similar to a."""
+    weighted = "weight" in homes.columns
+    homes = homes if weighted else homes.withColumn("weight", F.lit(0).cast("bigint"))
     parts = 4 * partitions(texts.sparkSession, texts)
-    wanted = homes.join(stars_of, "member").groupBy("doc_id").agg(F.collect_list(F.struct("member", "hubs")).alias("wanted"))
+    wanted = homes.join(stars_of, "member").groupBy("doc_id").agg(F.collect_list(F.struct("member", "hubs", "weight")).alias("wanted"))
 
     def spread(batches):
         for batch in batches:
             lists = batch.column("wanted")
             offsets, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
             owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
-            known: dict[tuple[int, int], pa.Array] = dict(zip(zip(owner.tolist(), flat.field("member").to_pylist()), flat.field("hubs")))
-            out: tuple[list, ...] = ([], [], [], [])
+            known: dict[tuple[int, int], tuple] = dict(zip(zip(owner.tolist(), flat.field("member").to_pylist()), zip(flat.field("hubs"), flat.field("weight").to_pylist())))
+            out: tuple[list, ...] = ([], [], [], [], [])
             for row, member, x in elements(batch.column("text"), flat.field("member").to_numpy()):
-                hubs = known.pop((row, member), None)
-                if hubs is not None:
-                    hubs = hubs.values.to_pylist()
+                found = known.pop((row, member), None)
+                if found is not None:
+                    hubs, weight = found[0].values.to_pylist(), found[1]
                     blob = x.tobytes()
                     for h in hubs:
-                        for column, value in zip(out, (h, member, blob, hubs)):
+                        for column, value in zip(out, (h, member, blob, hubs, weight)):
                             column.append(value)
             hub = np.array(out[0], np.int64)
             yield pa.record_batch(
-                [pa.array(part_of(hub, parts)), pa.array(hub), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))],
-                ["part", "hub", "member", "elements", "hubs"],
+                [pa.array(part_of(hub, parts)), pa.array(hub), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.int64())],
+                ["part", "hub", "member", "elements", "hubs", "weight"],
             )
 
     def stars_in(group: pa.Table) -> pa.Table:
@@ -340,58 +387,80 @@ def verified_pairs(texts: DataFrame, homes: DataFrame, stars_of: DataFrame, elem
         order = order[fresh]
         cuts = np.flatnonzero(np.r_[True, hub[order][1:] != hub[order][:-1], True])
         blobs, hubs = group.column("elements").to_pylist(), group.column("hubs").to_pylist()
-        out, few = [], []
+        weight = group.column("weight").to_numpy()
+        out, few, links = [], [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             at = order[a:b]
             if b - a < 2:
                 continue
+            ids, h = member[at], int(hub[at[0]])
             if b - a <= _FEW:
-                rows = at.tolist()
-                found = _verify_few(int(hub[rows[0]]), member[at].tolist(), [blobs[i] for i in rows], [hubs[i] for i in rows], t)
+                found = _verify_few(h, ids.tolist(), [blobs[i] for i in at.tolist()], [hubs[i] for i in at.tolist()], t)
                 if not spanning:
                     few += found
                     continue
-                found = tuple(np.array(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+                pairs = iter([(np.searchsorted(ids, x[0]), np.searchsorted(ids, x[1]), np.array(x[2])) for x in [list(zip(*found))]] if found else [])
             else:
-                found = verify(int(hub[at[0]]), member[at], [np.frombuffer(blobs[i], np.uint64) for i in at], [np.array(hubs[i]) for i in at], t)
-            out.append(_spanning(*found) if spanning else found)
+                sets = [np.frombuffer(blobs[i], np.uint64) for i in at]
+                if not spanning:
+                    out.append(verify(h, ids, sets, [np.array(hubs[i]) for i in at], t))
+                    continue
+                pairs = _verified(h, ids, sets, [np.array(hubs[i]) for i in at], t)
+            i, j, score, of = _spanning(len(ids), weight[at], pairs)
+            out.append((ids[i], ids[j], score))
+            links.append((ids[of > 0], of[of > 0]))
         if few:
             out.append(tuple(np.array(x) for x in zip(*few)))
         a, b, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         release()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(s, pa.float64())})
-
-    schema = "part int, hub bigint, member bigint, elements binary, hubs array<bigint>"
+        edges = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(s, pa.float64())})
+        if not weighted:
+            return edges
+        a, of = (np.concatenate(x) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 2
+        counts = pa.table({"a": pa.array(a, pa.int64()), "b": pa.nulls(len(a), pa.int64()), "jaccard": pa.nulls(len(a), pa.float64()), "links": pa.array(of, pa.int64())})
+        return pa.concat_tables([edges.append_column("links", pa.nulls(len(edges), pa.int64())), counts])
+
+    schema = "part int, hub bigint, member bigint, elements binary, hubs array<bigint>, weight bigint"
     rows = texts.join(wanted, "doc_id").select("text", "wanted").mapInArrow(spread, schema)
-    return rows.groupBy("part").applyInArrow(stars_in, "a bigint, b bigint, jaccard double")
+    return rows.groupBy("part").applyInArrow(stars_in, "a bigint, b bigint, jaccard double" + ", links bigint" * weighted)
 
 
-def _spanning(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    root: dict[int, int] = {}
+def _spanning(size: int, weight: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """(i, j, score, links): enough of the pairs to connect all that they connect, and the weight of all
+    that each of so many members is paired with."""
+    root, links = np.arange(size), np.zeros(size, np.int64)
 
     def find(v: int) -> int:
-        while (w := root.setdefault(v, v)) != v:
+        while (w := root[v]) != v:
             root[v] = root[w]
             v = root[v]
         return v
 
-    keep = []
-    for i, (u, v) in enumerate(zip(a.tolist(), b.tolist())):
-        u, v = find(u), find(v)
-        if u != v:
-            root[max(u, v)] = min(u, v)
-            keep.append(i)
-    return a[keep], b[keep], s[keep]
-
-
-def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, spanning: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    kept = []
+    for i, j, score in blocks:
+        np.add.at(links, i, weight[j])
+        np.add.at(links, j, weight[i])
+        while (up := root[root] != root).any():
+            root[up] = root[root[up]]
+        for k in np.flatnonzero(root[i] != root[j]).tolist():
+            u, v = find(i[k]), find(j[k])
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                kept.append((i[k], j[k], score[k]))
+    i, j, score = zip(*kept) if kept else ((), (), ())
+    return np.array(i, np.int64), np.array(j, np.int64), np.array(score, np.float64), links
+
+
+def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, spanning: bool = False, counted: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, pairs, edges): the written (doc_id, set_id) of all documents, (a, b, jaccard) of all
     pairs of distinct sets that reach the threshold (or enough of them, with spanning), and the written
-    table that pairs are read from."""
+    table that pairs are read from.  With counted, pairs also has rows (a, null, null, links) of which the
+    sum of links is the number of documents with a set that is similar to a."""
     spark = docs.sparkSession
     table = document_sets(docs, n)
     members = table.where("set_id is not null").select("doc_id", "set_id").distinct()
     ranks = spark.sparkContext.broadcast(_ranks(_frequencies(table)))
+    late = spark.sparkContext.broadcast(_late(docs, n))
     parts = partitions(spark, docs)
 
     def prefixes(batches):
@@ -399,7 +468,8 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
         for batch in batches:
             for _, x in _sets(batch.column("text"), n):
                 size, sid = len(x), _set_id(x)
-                x = np.sort(x | ranks.value[_counter(x)])
+                last = late.value[_slot(x)].astype(np.uint64) << np.uint64(56)
+                x = np.sort(x | np.maximum(ranks.value[_counter(x)], last))
                 first = min(size, size - int(np.ceil(threshold * size - 1e-9)) + _SHARED)
                 # list keys keep 48 bits of the hash; lists that fall together only add candidates
                 yield from pack.add(x[:first] & ~np.uint64(0xFF), set=sid, n=size, pos=np.arange(first))
@@ -412,7 +482,8 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
         for row, x in _sets(column, n):
             yield row, _set_id(x), x
 
-    homes = members.groupBy(F.col("set_id").alias("member")).agg(F.min("doc_id").alias("doc_id"))
+    homes = members.groupBy(F.col("set_id").alias("member")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"))
+    homes = homes if counted else homes.drop("weight")
     return members, verified_pairs(_usable(docs), homes, needed_stars(edges), elements, threshold, spanning), edges
 
 
@@ -436,6 +507,29 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     return copies.union(near).distinct()
 
 
+def classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links) of every doc_id: the least doc_id of its class, and the number of other
+    documents that it is similar to.
+
+    Classes are the connected components of jaccard_join's pairs; equal documents are links as well.
+    Documents without a word are classes of their own.  A document whose rows have several sets connects
+    them, and has the links of each."""
+    members, rows, edges = similar_sets(docs, n, threshold, spanning=True, counted=True)
+    rows = written(rows, "links")
+    discard(edges)
+    own = members.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z"))
+    joined = members.join(own.where("a <> z"), "doc_id").select("a", F.col("set_id").alias("b"))
+    root = components(rows.where("b is not null").select("a", "b").union(joined), "classes").select(F.col("node").alias("set_id"), "root")
+    near = rows.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("near"))
+    same = members.groupBy("set_id").agg((F.count("*") - 1).alias("same"))
+    found = members.join(same, "set_id").join(near, "set_id", "left").join(root, "set_id", "left")
+    found = found.select("doc_id", F.coalesce("root", "set_id").alias("root"), (F.col("same") + F.coalesce("near", F.lit(0))).alias("links"))
+    least = found.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    found = found.join(least, "root").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    every = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+    return every.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kept_id) of every document that is not the least doc_id of its group: groups are
     the connected components of the similar pairs."""

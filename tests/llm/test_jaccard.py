@@ -97,3 +97,48 @@ def test_components(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 59: 59, 60: 59}
     assert components(edges.where("a > 1000")).count() == 0
+
+
+def test_classes_and_links_equal_brute_force(docs):
+    rows = corpus() + [(200, prose(50, 7)), (200, corpus()[5][1]), (201, prose(50, 7)), (202, ""), (None, prose(50, 7))]
+    sets = [(k, s) for k, (i, t) in enumerate(rows) for s in [sets_of([(k, t)]).get(k)] if i is not None and s]
+    parent = {i: i for i, _ in rows if i is not None}
+    links = dict.fromkeys(parent, 0)
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for x, (k, a) in enumerate(sets):
+        for l, b in sets[x + 1 :]:
+            if rows[k][0] != rows[l][0] and len(a & b) / len(a | b) >= jaccard.THRESHOLD:
+                u, v = find(rows[k][0]), find(rows[l][0])
+                parent[max(u, v)] = min(u, v)
+                links[rows[k][0]] += 1
+                links[rows[l][0]] += 1
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard.classes(docs(rows)).collect()}
+    assert got == {i: (find(i), links[i]) for i in parent}
+    assert jaccard.classes(docs([])).collect() == []
+
+
+def test_query_gives_a_row_per_document(docs, tmp_path):
+    from emenda.llm import queries
+
+    base = prose(80, 1).split()
+    rows = [(i, " ".join([*base[: i % 80], f"y{i}", *base[i % 80 + 1 :]])) for i in range(300)]
+    frame = docs(rows)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.queries()["op7_ngram_jaccard"](frame.sparkSession, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.class_id, r.links) for r in got) == [(i, 0, 299) for i in range(300)]
+
+
+def test_shared_passages_are_no_stars_where_counters_are_full(docs, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "_frequencies", lambda table: np.full(jaccard._COUNTERS, 5000))
+    passage = prose(80, 2)
+    rows = [(i, f"{prose(120, 1000 + i, 50_000)} {passage}") for i in range(600)] + [(700, prose(120, 1000, 50_000) + " " + passage + " more")]
+    _, pairs, edges = jaccard.similar_sets(docs(rows))
+    assert edges.where("star = 1").count() == 0
+    assert pairs.count() == 1
