@@ -151,3 +151,20 @@ def test_empty_tables_and_other_columns(spark, tmp_path):
         assert [tuple(r) for r in kept.collect()] == rows[:2]
         found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert [p.doc_id for w in found for p in w.pieces] == [r[0] for r in rows[:2]]
+
+
+def test_near_duplicates_of_shared_passages_send_few_sets(docs, monkeypatch):
+    import numpy as np
+
+    import corpus_pipeline
+    from emenda.llm import jaccard
+
+    sent, needed = [], jaccard.needed_stars
+    monkeypatch.setattr(jaccard, "_frequencies", lambda table: np.full(jaccard._COUNTERS, 5000))  # as on many GB
+    monkeypatch.setattr(jaccard, "needed_stars", lambda edges: sent.append(needed(edges)) or sent[0])
+    monkeypatch.setattr(jaccard, "discard", lambda table: None)
+    passage = prose(80, 2)
+    rows = [(i, f"{prose(120, 1000 + i, 50_000)} {passage}") for i in range(600)] + [(700, prose(120, 1000, 50_000) + " " + passage + " more")]
+    frame = docs(rows)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(frame.sparkSession, frame, "").collect()} == set(range(600))
+    assert sent[0].count() == 2
