@@ -1,4 +1,5 @@
-"""Exact top-k search for every vector, in three phases with a uniform threshold.
+"""Exact top-k search, in three phases with a uniform threshold, for every vector or for the rows whose
+vec_id is divisible by ``every``; all rows are searched.
 
 A score is an inner product, and the dimensions are cut into m blocks whose partial scores add up
 (the lists of the three-phase uniform-threshold algorithm, Cao and Wang, 2004).
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 K = 10
 BLOCKS = 2
 BLOCK_ROWS = 8192
+#: The query's searches: rows whose id is divisible by it.
+EVERY = 50
 
 _STEP = 512
 _SLACK = 1e-4
@@ -84,19 +87,27 @@ def survivors(q: np.ndarray, qid: np.ndarray, cutoff: np.ndarray, x: np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def top_k(vectors: DataFrame, k: int = K, blocks: int = BLOCKS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, vec_id, score, rank) of the k best other vectors of every vector."""
+def top_k(vectors: DataFrame, k: int = K, blocks: int = BLOCKS, block_rows: int = BLOCK_ROWS, every: int = 1) -> DataFrame:
+    """(query_id, vec_id, score, rank) of the k best other vectors of every vector whose vec_id is
+    divisible by every."""
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(
         "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('infinity'))"
     ).distinct()
-    sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("cells"))
-    rows = rows.withColumn("d", F.size("embedding")).join(sizes, "d").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("cells")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    rows = rows.withColumn("d", F.size("embedding"))
+    asked = F.col("vec_id") % every == 0
+    sizes = rows.groupBy("d").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("cells"), F.ceil(F.count(F.when(asked, 1)) / block_rows).cast("int").alias("rounds"))
+    rows = rows.join(sizes.where("rounds > 0"), "d")
+
+    def block(count: str):
+        return F.pmod(F.xxhash64("vec_id"), F.col(count)).cast("int")
+
+    def each(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
     def spread(queries: DataFrame) -> DataFrame:
         """Queries and vectors, each in every cell that it belongs to."""
-        a = queries.select("d", F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("query"), "vec_id", "embedding", "cutoff")
-        b = rows.select("d", every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("query"), "vec_id", "embedding", F.lit(0.0).alias("cutoff"))
+        a = queries.select("d", block("rounds").alias("i"), each("cells").alias("j"), F.lit(True).alias("query"), "vec_id", "embedding", "cutoff")
+        b = rows.select("d", each("rounds").alias("i"), block("cells").alias("j"), F.lit(False).alias("query"), "vec_id", "embedding", F.lit(0.0).alias("cutoff"))
         return a.union(b).groupBy("d", "i", "j")
 
     def split(group: pa.Table) -> tuple[np.ndarray, ...]:
@@ -114,11 +125,11 @@ def top_k(vectors: DataFrame, k: int = K, blocks: int = BLOCKS, block_rows: int
         found = survivors(q, qid, cutoff, x, xid, blocks) if len(q) and len(x) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
 
-    led = spread(rows.withColumn("cutoff", F.lit(0.0))).applyInArrow(first, "d int, vec_id bigint, scores array<double>")
+    led = spread(rows.where(asked).withColumn("cutoff", F.lit(0.0))).applyInArrow(first, "d int, vec_id bigint, scores array<double>")
     best = F.sort_array(F.flatten(F.collect_list("scores")), asc=False)
     # a vec_id that has several vectors is answered from the best of them: the least cutoff is safe
     cutoffs = led.groupBy("d", "vec_id").agg(best.alias("best")).select("d", "vec_id", F.when(F.size("best") >= k, F.get("best", F.lit(k - 1))).otherwise(-1e30).alias("cutoff"))
-    several = rows.groupBy("d", "vec_id").count().where("count > 1").select("d", "vec_id", F.lit(-1e30).alias("none"))
+    several = rows.where(asked).groupBy("d", "vec_id").count().where("count > 1").select("d", "vec_id", F.lit(-1e30).alias("none"))
     cutoffs = cutoffs.join(several, ["d", "vec_id"], "left").select("d", "vec_id", F.coalesce("none", "cutoff").alias("cutoff"))
     found = spread(rows.join(cutoffs, ["d", "vec_id"])).applyInArrow(rest, "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.round(F.max("score"), 9).alias("score"))

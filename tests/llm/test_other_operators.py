@@ -281,6 +281,29 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(frame.where("vec_id < 3"), k=10).groupBy("query_id").count().collect() and topk.top_k(frame.where("vec_id < 3")).count() == 6
 
 
+def test_searches_of_the_query_are_ids_divisible_by_50_over_all_rows(spark, tmp_path):
+    from emenda.llm import queries
+
+    r = np.random.default_rng(4)
+    x = np.round(r.normal(size=(230, 8)), 1).astype(np.float32)
+    ids = [i - 100 for i in range(230)]
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)] + [(50, x[3].tolist()), (1001, [1.0]), (1050, [2.0, 1.0]), (1051, [1.0, 1.0]), (None, x[0].tolist())]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for row in queries.queries()["op9_topk"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+    score = {}
+    for q, a in rows:
+        for j, b in rows:
+            if q is not None and j is not None and q % 50 == 0 and q != j and len(a) == len(b):
+                score[q, j] = max(score.get((q, j), -1e9), round(float(np.float64(a) @ np.float64(b)), 9))
+    want = {q: sorted((j for p, j in score if p == q), key=lambda j: (-score[q, j], j))[:10] for q in {q for q, _ in score}}
+    assert got == want and set(got) == {-100, -50, 0, 50, 100, 1050}
+    frame = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    few = topk.top_k(frame, k=10, block_rows=3, every=50).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in few) == sorted((q, n + 1, j) for q, js in want.items() for n, j in enumerate(js))
+
+
 # ---- HTML
 
 
