@@ -57,6 +57,8 @@ _EDITS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2))
 #: A paragraph in a band (key: 48 bits of the band, 16 of the content) or by its content (key).
 _PLACE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("size", "<u4")])
 _BAND_BITS = 16
+#: Bands are grouped in so many pieces, by the first bits of their key.
+_PIECE_BITS = 3
 _TOP = np.uint64((1 << 64) - 1)
 #: What is followed: an edited paragraph with all around it, or the words before or after an equal one.
 _NEAR, _BEFORE, _AFTER = 0, 1, 2
@@ -212,6 +214,19 @@ def equal_places(rows: np.ndarray) -> dict[str, np.ndarray]:
 def band_stars(rows: np.ndarray) -> dict[str, np.ndarray]:
     """Of rows with bands as key: unit, the first paragraph of each band that holds several contents,
     and doc_id and at of each other content's first place, if that is in another document."""
+    # a piece of the bands at a time: a worker's copies of all rows would be several times the group
+    piece = (rows["key"] >> np.uint64(64 - _PIECE_BITS)).astype(np.uint8)
+    found = [_stars_of_bands(rows[piece == k]) for k in range(1 << _PIECE_BITS)]
+    unit_doc, unit_at, doc, at = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((at, doc, unit_at, unit_doc))
+    unit_doc, unit_at, doc, at = (x[order] for x in (unit_doc, unit_at, doc, at))
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (unit_doc[1:] != unit_doc[:-1]) | (unit_at[1:] != unit_at[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
+    return {"unit_doc": unit_doc[fresh], "unit_at": unit_at[fresh], "doc_id": doc[fresh], "at": at[fresh]}
+
+
+def _stars_of_bands(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(unit_doc, unit_at, doc_id, at), with repeats."""
     rows = rows[np.argsort(rows["key"], kind="stable")]
     band = rows["key"] >> np.uint64(_BAND_BITS)
     same = np.r_[False, band[1:] == band[:-1]][: len(rows)]
@@ -224,9 +239,7 @@ def band_stars(rows: np.ndarray) -> dict[str, np.ndarray]:
     head = np.maximum.accumulate(np.where(np.r_[True, band[1:] != band[:-1]][: len(rows)], np.arange(len(rows)), 0))
     keep = rows["doc"][head] != rows["doc"]
     hub, rows = rows[head[keep]], rows[keep]
-    _, i = np.unique(np.stack([hub["doc"], hub["at"].astype(np.int64), rows["doc"], rows["at"].astype(np.int64)]), axis=1, return_index=True) if len(rows) else (0, slice(0))
-    hub, rows = hub[i], rows[i]
-    return {"unit_doc": hub["doc"], "unit_at": hub["at"].astype(np.int64), "doc_id": rows["doc"], "at": rows["at"].astype(np.int64)}
+    return hub["doc"], hub["at"].astype(np.int64), rows["doc"], rows["at"].astype(np.int64)
 
 
 def _pairs_of(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+#: Arrays of a chunk take some 80 times its bytes in a worker, at most: workers count as executor memory.
+CHUNK_BYTES = 1 << 18
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -168,3 +168,28 @@ def test_near_duplicates_of_shared_passages_send_few_sets(docs, monkeypatch):
     frame = docs(rows)
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(frame.sparkSession, frame, "").collect()} == set(range(600))
     assert sent[0].count() == 2
+
+
+def test_workers_hold_little_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from emenda.llm import jaccard, substring, textvec
+
+    def peak(work):
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 2**20
+
+    column = pa.array([prose(400, i) for i in range(20)] * 50)
+    pack = runtime.Packer(4, jaccard._KEY)
+    assert peak(lambda: [w.first for w in textvec.words(column)]) < 24
+    assert peak(lambda: [list(pack.add(np.arange(i, i + 50_000, dtype=np.uint64))) for i in range(120)]) < 50
+    rows = np.zeros(400_000, substring._PLACE)
+    rows["key"] = textvec.mix(np.arange(len(rows), dtype=np.uint64) // np.uint64(3)) ^ np.arange(len(rows), dtype=np.uint64) % np.uint64(3)
+    rows["doc"] = np.arange(len(rows))
+    assert peak(lambda: substring.band_stars(rows)) < 5 * rows.nbytes / 2**20
