@@ -28,6 +28,7 @@ whatever name, are ignored.  An empty table gives no rows.  Texts are read whole
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,9 @@ from .textvec import mix, words
 NGRAM = 3
 THRESHOLD = 0.5
 
-_COUNTERS = 1 << 18
+#: Counters of n-grams. They are shared by all n-grams, so the fewer they are the sooner a larger input hides
+#: n-grams of some dozen documents, whose lists then give pairs of unlike documents.
+_COUNTERS = 1 << 21
 _BLOCKS = 16
 _MASK = np.uint64((1 << 56) - 1)
 _KEY = np.dtype([("key", "<u8")])
@@ -74,7 +77,7 @@ def _set_id(x: np.ndarray) -> int:
 
 
 def _counter(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(38)).astype(np.int64)
+    return (x >> np.uint64(35)).astype(np.int64)
 
 
 def _usable(docs: DataFrame) -> DataFrame:
@@ -85,10 +88,10 @@ def _usable(docs: DataFrame) -> DataFrame:
 
 def document_sets(docs: DataFrame, n: int = NGRAM) -> DataFrame:
     """Written table of one row per document (doc_id, set_id, n) and rows (block, counts) whose
-    sums are the n-grams' document frequencies."""
+    sums, decompressed, are the n-grams' document frequencies."""
 
     def scan(batches):
-        counts = np.zeros(_COUNTERS, np.int64)
+        counts = np.zeros(_COUNTERS, np.int32)
         for batch in batches:
             ids, rows, sets, sizes = batch.column("doc_id"), [], [], []
             for row, x in _sets(batch.column("text"), n):
@@ -103,7 +106,7 @@ def document_sets(docs: DataFrame, n: int = NGRAM) -> DataFrame:
             )
         release()
         if counts.any():
-            blobs = [b.tobytes() for b in counts.reshape(_BLOCKS, -1)]
+            blobs = [zlib.compress(b.tobytes(), 1) for b in np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(_BLOCKS, -1)]
             none = pa.nulls(_BLOCKS, pa.int64())
             yield pa.record_batch([none, none, none, pa.array(range(_BLOCKS), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "set_id", "n", "block", "counts"])
 
@@ -113,19 +116,21 @@ def document_sets(docs: DataFrame, n: int = NGRAM) -> DataFrame:
 
 def _frequencies(table: DataFrame) -> np.ndarray:
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_buffer(), np.int64) for b in group.column("counts"))
+        total = np.zeros(_COUNTERS // _BLOCKS, np.uint32)
+        for b in group.column("counts"):
+            total += np.frombuffer(zlib.decompress(b.as_buffer()), np.uint16)
         return pa.table({"block": group.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     rows = table.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    out = np.zeros((_BLOCKS, _COUNTERS // _BLOCKS), np.int64)
+    out = np.zeros((_BLOCKS, _COUNTERS // _BLOCKS), np.uint32)
     for r in rows:
-        out[r.block] = np.frombuffer(r.counts, np.int64)
+        out[r.block] = np.frombuffer(r.counts, np.uint32)
     return out.ravel()
 
 
 def _ranks(counts: np.ndarray) -> np.ndarray:
-    """High byte of an ordered n-gram, by counter: four steps for every doubling."""
-    return (np.floor(4 * np.log2(counts + 1.0)).astype(np.uint64)) << np.uint64(56)
+    """High byte of an ordered n-gram, by counter: four steps for every doubling, under that of any frequent one."""
+    return np.minimum(np.floor(4 * np.log2(counts + 1.0)), 127).astype(np.uint8)
 
 
 def _slot(x: np.ndarray) -> np.ndarray:
@@ -468,8 +473,8 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
         for batch in batches:
             for _, x in _sets(batch.column("text"), n):
                 size, sid = len(x), _set_id(x)
-                last = late.value[_slot(x)].astype(np.uint64) << np.uint64(56)
-                x = np.sort(x | np.maximum(ranks.value[_counter(x)], last))
+                rank = np.maximum(ranks.value[_counter(x)], late.value[_slot(x)])
+                x = np.sort(x | rank.astype(np.uint64) << np.uint64(56))
                 first = min(size, size - int(np.ceil(threshold * size - 1e-9)) + _SHARED)
                 # list keys keep 48 bits of the hash; lists that fall together only add candidates
                 yield from pack.add(x[:first] & ~np.uint64(0xFF), set=sid, n=size, pos=np.arange(first))

@@ -142,3 +142,25 @@ def test_shared_passages_are_no_stars_where_counters_are_full(docs, monkeypatch)
     _, pairs, edges = jaccard.similar_sets(docs(rows))
     assert edges.where("star = 1").count() == 0
     assert pairs.count() == 1
+
+
+def test_ngrams_of_some_documents_come_last_on_a_large_input(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    shared = " ".join(f"s{i}" for i in range(60))
+    texts = [" ".join(f"w{w}" for w in r.integers(0, 10**9, 200)) + " " + shared for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    count, star_table, lists = jaccard._frequencies, jaccard.star_table, []
+
+    def seen(packed, dtype, *rest):
+        rows = jaccard.unpack(packed.toArrow().column("blob"), dtype)
+        lists.append(np.unique(rows["key"], return_counts=True)[1])
+        return star_table(packed, dtype, *rest)
+
+    # beside as many n-grams as some GB of text have
+    monkeypatch.setattr(jaccard, "_frequencies", lambda table: count(table) + np.random.default_rng(9).poisson(2**26 / jaccard._COUNTERS, jaccard._COUNTERS))
+    monkeypatch.setattr(jaccard, "star_table", seen)
+    assert all(x.links == 0 for x in jaccard.classes(df).collect())
+    # half of a set's 258 n-grams and a few more are listed: enough others come before the 58 that all share
+    assert (lists[0] > 1).sum() < 6 and lists[0].sum() == 30 * (258 - 129 + 4)
