@@ -15,6 +15,7 @@ from ..operators import spans as S
 from ..operators import tokens as K
 from ..plans import correct as P
 from ..plans import lexicon as X
+from ..session import written
 from ..sources import readers
 from .correction import ABBREVIATIONS, CONFUSIONS, DECISIONS, DOMAIN, KNOWN, NGRAMS, PHRASES, TEXTS, _DEC, _edges, _lx, _scored, _T, _tokens, _WORD, fixture_resources
 from .registry import Fixture, lit, query, strip_sql
@@ -156,18 +157,21 @@ def cg_phrase(spark, sf):
 
 @query("cg_identity_only", f"SELECT token_type, count(*) AS n FROM {_T} WHERE token_type IN ('NUMBER', 'UNIT', 'PUNCT', 'SPACE', 'NEWLINE', 'PROTECTED') GROUP BY 1")
 def cg_identity_only(spark, sf):
-    toks = _tokens(spark, sf)
-    found = C.proposals(toks, _lx(spark, sf)).join(toks.select("doc_id", "tok_idx", "token_type"), ["doc_id", "tok_idx"])
-    return found.where(F.col("token_type").isin(*K.IDENTITY_ONLY)).groupBy("token_type").agg(F.count("*").alias("n"))
+    """Proposals of distinct tokens, each counted as often as the token occurs."""
+    forms = _tokens(spark, sf).groupBy("token", "token_type", "protected").agg(F.count("*").alias("places"))
+    forms = written(forms, "forms").withColumn("form", F.struct("token_type", "places", "token"))
+    lx = _lx(spark, sf)
+    lx.keys = ["form"]
+    found = C.proposals(forms, lx).select("form.token_type", "form.places").where(F.col("token_type").isin(*K.IDENTITY_ONLY))
+    return found.groupBy("token_type").agg(F.sum("places").alias("n"))
 
 
 @query("cg_cache", f"SELECT doc_id, tok_idx, count(*) AS n FROM {_WORD} GROUP BY 1, 2")
 def cg_cache(spark, sf):
     """Candidates of distinct tokens, joined back to their places."""
     words = _tokens(spark, sf).where(F.col("token_type").isin(*K.WORDS))
-    once = words.select("token").distinct()
-    found = C.from_words(once, C.Lexicons(lexicon=_lx(spark, sf).lexicon, keys=[])).select("token", "text")
-    return words.join(found, "token").groupBy("doc_id", "tok_idx").agg(F.count("*").alias("n"))
+    found = C.from_words(C.distinct(words), C.Lexicons(lexicon=_lx(spark, sf).lexicon, keys=[])).groupBy("token").agg(F.count("*").alias("n"))
+    return words.select("doc_id", "tok_idx", "token").join(found, "token").select("doc_id", "tok_idx", "n")
 
 
 COUNTS = Fixture("id bigint, counts array<bigint>, lim bigint", [(1, [3, 4, 2], 10), (2, [1, 1], 5), (3, [8, 8, 8], 100), (4, [5], 0)])
