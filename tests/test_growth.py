@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from emenda import catalog
 from emenda.operators import candidates as C
+from emenda.operators import tokens as K
+from emenda.plans.correct import restore_accents
 
 DATA = "/root/testdata/sf0.001"
 
@@ -35,3 +37,51 @@ def test_placed_candidates_are_those_of_every_place(spark):
         want = C.rank(each, keys, most)
         columns = sorted(want.columns)
         assert sorted(map(str, C.generate(toks, lx, most).select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+
+@pytest.mark.parametrize("name, absent", [("tok_spans", "Exchange"), ("tok_phrase_rebuild", "Exchange"), ("tok_windows", "Join"), ("tok_reconstruct", ", token, token#"), ("restore_accents", "tok_idx")])
+def test_tokens_are_not_shuffled(spark, name, absent):
+    found = plan(catalog.queries()[name](spark, DATA))
+    assert absent not in found and (name != "tok_reconstruct" or "piece" in found)
+
+
+TEXTS = [(1, "Số  muỗng\n12 gạt-ngang"), (2, ""), (3, None), (4, "a\x1c b"), (5, "longest words abcdefgh abcdefghi\nab " * 40), (None, "đường thé de"), (4, "DE thé")]
+
+
+def test_scattered_tokens_are_the_same_texts_and_windows(spark):
+    docs = spark.createDataFrame([r for r in TEXTS if r[0]][:-1], "doc_id int, text string")
+    toks = K.tokenize(docs).cache()
+    n = toks.count()
+    for rows in (toks, toks.repartition(7, "tok_idx"), toks.orderBy(F.desc("tok_idx"))):
+        assert {r.doc_id: r.text for r in K.reconstruct(rows).collect()} == {d: t for d, t in TEXTS[:5] if t}
+    marked = toks.select("doc_id", "tok_idx", F.when(F.length("token") > 7, 2).otherwise(1).alias("n_candidates"), (F.length("token") == 9).alias("protected"))
+    for most in (4, 5):
+        want = []
+        for d, _ in TEXTS[:5]:
+            own = sorted(r for r in marked.where(F.col("doc_id") == d).collect())
+            places = [(max(r.tok_idx - most // 2, 0), r.tok_idx) for r in own if r.n_candidates > 1 and not r.protected]
+            for a, t in places:
+                b = min(t + most // 2 + 1, len(own), a + most)
+                if want and want[-1][0] == d and a <= want[-1][3]:
+                    want[-1] = (*want[-1][:3], max(b, want[-1][3]))
+                else:
+                    want.append((d, want[-1][1] + 1 if want and want[-1][0] == d else 0, a, b))
+        for rows in (marked, marked.repartition(5, "tok_idx")):
+            assert sorted(tuple(r) for r in K.windows(rows, most).collect()) == want
+    assert n == toks.count() and want
+
+
+def test_every_row_is_restored_by_its_own_words(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id int, text string")
+    best = spark.createDataFrame([("so", "số", 3), ("so", "sò", 2), ("de", "dé", 1), ("the", "the", 2), ("the", "thé", 1), ("duong", "đường", 1)], "no_tone string, surface string, cnt int")
+    got = sorted((str(r.doc_id), r.restored) for r in restore_accents(docs, best).collect())
+    assert got == sorted([("1", "số  muong\n12 gat-ngang"), ("4", "a\x1c b"), ("5", TEXTS[4][1]), ("None", "đường the dé"), ("4", "dé the")])
+
+
+def test_words_take_their_places(spark):
+    rows = [(["a", " ", "b", "", "c"], ["X", "Y"]), (["a"], []), ([], ["X"]), (None, ["X"]), (["a"], None), ([" ", "\x1c", "b"], ["ü", "Y"])]
+    found = spark.createDataFrame(rows, "t array<string>, w array<string>").select(K.rebuild_phrase("t", "w").alias("o"))
+    assert [r.o for r in found.collect()] == ["X Yc", "a", "", None, None, " \x1cü"]
+    docs = spark.createDataFrame(TEXTS, "doc_id int, text string")
+    by = sorted((str(r[0]), list(r[1:])) for r in K.word_spans(K.island_words(docs)).drop("words").where("doc_id <> 4").collect())
+    assert by == sorted((str(r[0]), list(r[1:])) for r in K.span_places(docs).where("doc_id <> 4").collect()) and by
