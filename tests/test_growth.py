@@ -1,12 +1,20 @@
 """What keeps the work of a query in proportion to its input: what its plan sends between tasks, and what of it leaves the JVM."""
 
+import random
+import time
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from emenda import catalog
+from emenda.functions import chars
+from emenda.functions import text as T
 from emenda.operators import candidates as C
 from emenda.operators import tokens as K
+from emenda.operators.spans import mark_tokens
 from emenda.plans.correct import restore_accents
+from emenda.sources import writers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -85,3 +93,23 @@ def test_words_take_their_places(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id int, text string")
     by = sorted((str(r[0]), list(r[1:])) for r in K.word_spans(K.island_words(docs)).drop("words").where("doc_id <> 4").collect())
     assert by == sorted((str(r[0]), list(r[1:])) for r in K.span_places(docs).where("doc_id <> 4").collect()) and by
+
+
+def test_long_texts_are_compared_by_bounds_that_meet():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    r = random.Random(7)
+    for _ in range(60):
+        a = "".join(r.choices("abcdé\ud800𝄞", k=r.randrange(60, 150)))
+        for b in (a.replace("a", "x"), a.replace("b", ""), a[3:] + "abc", "".join(r.choices("abcd", k=100)), a.replace("a", "b"), "z" * len(a), ""):
+            assert chars.distance(a, b) == chars.distance(b, a) == plain(a, b) == chars.distance(list(a), list(b))
+    text = "".join(r.choices("abcde ", k=400_000))
+    began = time.time()
+    assert chars.distance(text, text.replace("e", "x")) == chars.distance(text.replace("e", ""), text) == text.count("e")
+    assert time.time() - began < 10
