@@ -113,3 +113,9 @@ def test_long_texts_are_compared_by_bounds_that_meet():
     began = time.time()
     assert chars.distance(text, text.replace("e", "x")) == chars.distance(text.replace("e", ""), text) == text.count("e")
     assert time.time() - began < 10
+
+
+def test_texts_in_normal_form_are_handed_back(spark):
+    texts = pa.array(["é", None, "", "muỗng – x"])
+    assert T.nfc.func(texts) is texts
+    assert T.nfc.func(pa.array(["é", None, "", "a﻿", "q̣̇", "Å"])).to_pylist() == ["é", None, "", "a﻿", "q̣̇", "Å"]
