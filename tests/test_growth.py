@@ -119,3 +119,10 @@ def test_texts_in_normal_form_are_handed_back(spark):
     texts = pa.array(["é", None, "", "muỗng – x"])
     assert T.nfc.func(texts) is texts
     assert T.nfc.func(pa.array(["é", None, "", "a﻿", "q̣̇", "Å"])).to_pylist() == ["é", None, "", "a﻿", "q̣̇", "Å"]
+
+
+def test_tokens_are_marked_where_they_are(spark):
+    assert "SortMergeJoin" not in (found := plan(catalog.queries()["prot_mark"](spark, DATA))) and "Exchange hashpartitioning" not in found
+    toks = spark.createDataFrame([(1, 0, 0, 4), (1, 1, 4, 6), (2, 0, 0, 4), (None, 0, 0, 4), (1, 0, 0, 4)], "doc_id int, tok_idx int, start int, end int")
+    spans = spark.createDataFrame([(1, 0, 5), (1, 0, 4), (1, 5, 9), (None, 0, 9)], "doc_id int, start int, end int")
+    assert sorted(map(str, ((r.doc_id, r.tok_idx, r.protected) for r in mark_tokens(toks, spans).collect()))) == sorted(map(str, [(1, 0, True), (1, 1, False), (2, 0, False), (None, 0, False), (1, 0, True)]))
