@@ -53,7 +53,10 @@ def explanation_lines(explained: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def token_lines(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    line = F.format_string("%3d %s %s%s", F.col("tok_idx"), F.col("token"), F.col("token_type"), F.when(F.col("protected"), " [protected]").otherwise(""))
+    index = F.col("tok_idx").cast("string")
+    padded = F.when(F.length(index) < 3, F.lpad(index, 3, " ")).otherwise(index)
+    text = lambda c: F.coalesce(c, F.lit("null"))
+    line = F.concat(text(padded), F.lit(" "), text(F.col("token")), F.lit(" "), text(F.col("token_type")), F.when(F.col("protected"), " [protected]").otherwise(""))
     return tokens.select(key, "tok_idx", line.alias("line"))
 
 

@@ -126,3 +126,12 @@ def test_tokens_are_marked_where_they_are(spark):
     toks = spark.createDataFrame([(1, 0, 0, 4), (1, 1, 4, 6), (2, 0, 0, 4), (None, 0, 0, 4), (1, 0, 0, 4)], "doc_id int, tok_idx int, start int, end int")
     spans = spark.createDataFrame([(1, 0, 5), (1, 0, 4), (1, 5, 9), (None, 0, 9)], "doc_id int, start int, end int")
     assert sorted(map(str, ((r.doc_id, r.tok_idx, r.protected) for r in mark_tokens(toks, spans).collect()))) == sorted(map(str, [(1, 0, True), (1, 1, False), (2, 0, False), (None, 0, False), (1, 0, True)]))
+
+
+def test_token_lines_are_put_together_without_a_formatter(spark):
+    rows = spark.createDataFrame([(1, i, t, "PUNCT", p) for i, t, p in [(0, "a", True), (12, "b c", False), (999, "", None), (1000, "%d", True), (None, None, True)]], "doc_id int, tok_idx int, token string, token_type string, protected boolean")
+    found = writers.token_lines(rows)
+    line = F.format_string("%3d %s %s%s", F.col("tok_idx"), F.col("token"), F.col("token_type"), F.when(F.col("protected"), " [protected]").otherwise(""))
+    key = lambda r: str(r.tok_idx)
+    assert [r.line for r in sorted(found.collect(), key=key)] == [r.line for r in sorted(rows.select("tok_idx", line.alias("line")).collect(), key=key)]
+    assert "format_string" not in plan(found)
