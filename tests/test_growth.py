@@ -135,3 +135,7 @@ def test_token_lines_are_put_together_without_a_formatter(spark):
     key = lambda r: str(r.tok_idx)
     assert [r.line for r in sorted(found.collect(), key=key)] == [r.line for r in sorted(rows.select("tok_idx", line.alias("line")).collect(), key=key)]
     assert "format_string" not in plan(found)
+
+
+def test_domain_is_looked_up_by_distinct_token(spark):
+    assert "SortMergeJoin" not in (found := plan(catalog.queries()["cg_domain"](spark, DATA))) and "Exchange hashpartitioning" not in found
