@@ -139,3 +139,13 @@ def test_token_lines_are_put_together_without_a_formatter(spark):
 
 def test_domain_is_looked_up_by_distinct_token(spark):
     assert "SortMergeJoin" not in (found := plan(catalog.queries()["cg_domain"](spark, DATA))) and "Exchange hashpartitioning" not in found
+
+
+def test_ngrams_are_sent_once_for_every_place(spark):
+    assert plan(catalog.queries()["tok_ngrams"](spark, DATA)).count("Exchange") == 1
+    r = random.Random(3)
+    rows = [([r.choice(["a", "bc", "đ", "𝄞", "."]) for _ in range(r.randrange(9))],) for _ in range(700)] + [(None,), ([],)]
+    docs = spark.createDataFrame(rows, "w array<string>")
+    for most in (2, 3, 4, 6):
+        want = docs.select(F.explode(K.ngrams(F.col("w"), 2, most)).alias("ngram")).groupBy("ngram").count()
+        assert sorted(map(tuple, K.ngram_counts(docs, "w", most).collect())) == sorted(map(tuple, want.collect()))
