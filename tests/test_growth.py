@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emenda import catalog
+from emenda.catalog import correction
 from emenda.functions import chars
 from emenda.functions import text as T
 from emenda.operators import candidates as C
@@ -149,3 +150,11 @@ def test_ngrams_are_sent_once_for_every_place(spark):
     for most in (2, 3, 4, 6):
         want = docs.select(F.explode(K.ngrams(F.col("w"), 2, most)).alias("ngram")).groupBy("ngram").count()
         assert sorted(map(tuple, K.ngram_counts(docs, "w", most).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_what_is_mined_is_mined_once(spark, monkeypatch):
+    """correct() reads its resources many times; none of these reads goes back to the documents."""
+    given = []
+    monkeypatch.setattr(correction.P, "correct", lambda docs, resources, config: given.append(resources) or docs.selectExpr("doc_id", "text corrected", "1D confidence", "array(1) changes", "array(1) flags", "'ok' status"))
+    catalog.queries()["correct_documents"](spark, DATA)
+    assert not [f for df in (given[0].lexicon, given[0].ngrams) for f in df.inputFiles() if "documents" in f]
